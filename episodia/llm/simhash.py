@@ -72,15 +72,15 @@ def fingerprints_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every document."""
+    """(doc_id, text_hash, fp) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in tk.slices(whole):
                 fps = fingerprints_of(*tk.buffers(batch.column(1)))
-                yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.record_batch([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def bit_groups(nodes: DataFrame) -> list[list[int]]:
@@ -327,7 +327,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id): every document with the smallest doc_id that it reaches by links."""
+    """(doc_id, text_hash, fp, root, component_id): every document with the smallest doc_id that it reaches by links."""
     rows = written(fingerprints(docs), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint-nodes")
     n = nodes.count()
@@ -338,8 +338,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "fingerprint-roots")
     best = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(best, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(best, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def cheapest_parts(shares: np.ndarray, n: int) -> int:
@@ -350,12 +350,13 @@ def cheapest_parts(shares: np.ndarray, n: int) -> int:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without near-duplicates of smaller id: one document of each component, all columns."""
-    found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi")
-    ids = docs.agg(F.count("*").alias("n"), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("d")).first()
-    return out if ids["n"] == ids["d"] else out.dropDuplicates(["doc_id"])
+    """One document of each component, that of the smallest id (a null id last), with all columns; of repeated rows one."""
+    found = written(near_duplicates(docs), "components")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
+    kept = found.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]) & (F.xxhash64(docs["text"]) == kept["__hash"]), "left_semi")
+    repeated = found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

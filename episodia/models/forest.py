@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ForestSettings
+from ..schema import with_fields
 
 
 def path_norm(n: int | np.ndarray) -> np.ndarray:
@@ -26,9 +27,9 @@ def grow(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarra
     todo = [(0, np.arange(len(x)), 0)]
     while todo:
         node, rows, depth = todo.pop()
-        lo, hi = x[rows].min(axis=0), x[rows].max(axis=0)
+        lo, hi = (x[rows].min(axis=0), x[rows].max(axis=0)) if len(rows) > 1 else (np.zeros(1), np.zeros(1))
         open_ = np.flatnonzero(hi > lo)
-        if depth >= limit or len(rows) <= 1 or not len(open_):
+        if depth >= limit or not len(open_):
             value[node] = depth + float(path_norm(len(rows)))
             continue
         f = int(rng.choice(open_))
@@ -91,7 +92,7 @@ class IsolationForest:
             for f in frames:
                 yield f.assign(score=self._scores(self._matrix(f)))
 
-        return rows.mapInPandas(run, rows.schema.add("score", "double"))
+        return rows.mapInPandas(run, with_fields(rows, "score"))
 
     def contributions(self, rows: DataFrame) -> DataFrame:
         """Adds c_<feature>: how much the score falls when the feature takes its training median (0 if ablation is off)."""
@@ -111,7 +112,4 @@ class IsolationForest:
                     f = f.assign(**{n: full - self._scores(without)})
                 yield f
 
-        schema = rows.schema
-        for n in names:
-            schema = schema.add(n, "double")
-        return rows.mapInPandas(run, schema)
+        return rows.mapInPandas(run, with_fields(rows, *names))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import ReconstructionSettings
 from ..operators.ordered import series
+from ..schema import with_fields
 
 
 def with_windows(df: DataFrame, channels: Sequence[str], length: int, by: Sequence[str]) -> DataFrame:
@@ -68,16 +69,13 @@ class Reconstruction:
         if self.basis is None:
             raise ValueError("the model is not fitted")
         names = [f"c_{c}" for c in self.contributors]
-        schema = rows.schema
-        for n in names:
-            schema = schema.add(n, "double")
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 e = self._errors(f["w"]) if len(f) else np.zeros((0, len(names)))
                 yield f.assign(**{n: e[:, k] for k, n in enumerate(names)})
 
-        return rows.mapInPandas(run, schema)
+        return rows.mapInPandas(run, with_fields(rows, *names))
 
     def score(self, rows: DataFrame) -> DataFrame:
         names = [f"c_{c}" for c in self.contributors]

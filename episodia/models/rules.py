@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import FeatureSettings, RuleSettings, micros
 from ..operators.cycles import OFFLOAD, STOPPED, attach_to_rows, baseline_lagged, baseline_trailing, duty_ratio, slopes
-from ..operators.ordered import last_completed
+from ..operators.ordered import last_completed, with_runs
 from ..operators.rank import percentile_rank
 
 #: Canonical order, and the side on which each quantity is abnormal.
@@ -32,10 +32,7 @@ class RuleModel:
         """Adds q_<rule> for every enabled rule: run-level values first, then their ratio to a moving baseline."""
         gap = micros(self.features.gap)
         runs = slopes(df, self.features.decay_channel, gap, self.by)
-        peak = df  # the peak of the same channel, at run level
-        from ..operators.ordered import with_runs
-
-        peaks = with_runs(peak, "regime", gap, self.by).groupBy(*self.by, "run_id").agg(F.max(self.features.decay_channel).alias("peak"))
+        peaks = with_runs(df, "regime", gap, self.by).groupBy(*self.by, "run_id").agg(F.max(self.features.decay_channel).alias("peak"))
         runs = runs.join(peaks, [*self.by, "run_id"])
         runs = last_completed(runs, "regime", STOPPED, F.col("duration_s"), "__short_stopped_duration", self.by)
         runs = last_completed(runs, "regime", STOPPED, F.abs("slope"), "__fast_pressure_decay", self.by, void_if_truncated=False)

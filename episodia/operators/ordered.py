@@ -7,12 +7,14 @@ gap_truncated looks one row ahead, as a fact about a run that has ended).
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..schema import with_fields
+
 BY = ("asset_id",)
 
 
@@ -85,11 +87,11 @@ def rolling_median(df: DataFrame, column: str, width_us: int, out: str, by: Sequ
     own = F.floor(F.col("us") / chunk_us)
     reach = F.floor((F.col("us") + (width_us - 1)) / chunk_us)
     sent = df.withColumn("__own", own).withColumn("__chunk", F.explode(F.sequence(own, reach)))
-    schema = df.schema.add(out, "double")
+    schema = with_fields(df, out)
     names = df.columns
 
     def roll(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("us", kind="stable")
+        part = part.sort_values("us", kind="stable").reset_index(drop=True)
         value = pd.Series(part[column].to_numpy(dtype="float64"), index=pd.to_datetime(part["us"].to_numpy(), unit="us"))
         part[out] = value.rolling(pd.Timedelta(width_us, unit="us"), min_periods=1).median().to_numpy()
         part.loc[part[out].isna(), out] = None
@@ -103,9 +105,3 @@ def ratio(value: str | Column, base: str | Column) -> Column:
     """value / base; x / 0 is infinite, 0 / 0 missing."""
     v, b = (F.col(x) if isinstance(x, str) else x for x in (value, base))
     return F.when(b != 0, v / b).when(v > 0, F.lit(float("inf"))).when(v < 0, F.lit(float("-inf")))
-
-
-def batches_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        if len(frame):
-            yield frame

@@ -129,16 +129,16 @@ def union_of(source: str, name: str, by: str = "") -> str:
 W_US = int(max(P.WIDTHS) * P.HOUR)
 FOLDS = f"""{EVENTS},
 fold AS (SELECT event_id, ds AS train_start, start_us - {W_US} - 2 * emb AS train_end, start_us - {W_US} - emb AS test_start, coalesce(greatest(end_us, maint_us), end_us) AS test_end, start_us AS event_start_us, end_us AS event_end_us FROM ev, bounds),
-holes0 AS (SELECT event_id, greatest(a, train_start) AS start_us, least(b, train_end) AS end_us FROM fold, (SELECT x0 AS a, x1 AS b FROM ev UNION ALL SELECT start_us, end_us FROM regions) WHERE b > train_start AND a < train_end),
-{union_of('holes0', 'holes', 'event_id')}"""
+cuts AS (SELECT event_id, greatest(a, train_start) AS start_us, least(b, train_end) AS end_us FROM fold, (SELECT x0 AS a, x1 AS b FROM ev UNION ALL SELECT start_us, end_us FROM regions) WHERE b > train_start AND a < train_end),
+{union_of('cuts', 'holes', 'event_id')}"""
 TRAIN = f"""{FOLDS}, {TEL},
 train AS (SELECT f.event_id, t.* FROM tel t JOIN fold f ON t.us >= f.train_start AND t.us < f.train_end WHERE NOT EXISTS (SELECT 1 FROM holes h WHERE h.event_id = f.event_id AND t.us >= h.start_us AND t.us < h.end_us)),
 test AS (SELECT f.event_id, t.* FROM tel t JOIN fold f ON t.us BETWEEN f.test_start AND f.test_end)"""
 MASKS = "masks AS (SELECT start_us, mask_end AS end_us FROM ev UNION ALL SELECT start_us, end_us FROM regions)"
 
 STRETCH = f"""{EVENTS},
-out0 AS (SELECT start_us - {W_US} - {micros(P.EVALUATION.pooled_buffer)} AS start_us, mask_end + {micros(P.EVALUATION.pooled_buffer)} AS end_us FROM ev UNION ALL SELECT start_us - {micros(P.EVALUATION.pooled_buffer)}, end_us + {micros(P.EVALUATION.pooled_buffer)} FROM regions),
-{union_of('out0', 'outs')},
+wide AS (SELECT start_us - {W_US} - {micros(P.EVALUATION.pooled_buffer)} AS start_us, mask_end + {micros(P.EVALUATION.pooled_buffer)} AS end_us FROM ev UNION ALL SELECT start_us - {micros(P.EVALUATION.pooled_buffer)}, end_us + {micros(P.EVALUATION.pooled_buffer)} FROM regions),
+{union_of('wide', 'outs')},
 edges AS (SELECT least(start_us, de) AS b, end_us FROM outs, bounds UNION ALL SELECT de, de FROM bounds),
 stretch AS (SELECT CAST(row_number() OVER (ORDER BY a) - 1 AS INTEGER) AS scope_id, a AS start_us, b AS end_us FROM (SELECT coalesce(greatest(lag(end_us) OVER (ORDER BY b, end_us), ds), ds) AS a, b FROM edges, bounds) WHERE b > a)"""
 
@@ -159,10 +159,10 @@ FOLD_EP = f"""{TRAIN}, {MASKS}, testscored AS (SELECT *, value / 100 AS score FR
 cats AS (SELECT e.*, f.event_start_us, CASE WHEN e.start_us <= f.event_start_us AND e.end_us >= f.event_start_us - {24 * P.HOUR} THEN 'early_warning' WHEN e.start_us <= f.event_end_us AND e.end_us >= f.event_start_us THEN 'concurrent'
   WHEN EXISTS (SELECT 1 FROM masks m WHERE e.start_us <= m.end_us AND e.end_us >= m.start_us) THEN 'masked' ELSE 'false_alarm' END AS category FROM e5 e JOIN fold f USING (event_id)),
 per_ AS (SELECT a.asset_id, f.event_id, f.test_start AS lo, f.test_end AS hi FROM fold f, (SELECT DISTINCT asset_id FROM test) a),
-lost0 AS (SELECT event_id, asset_id, greatest(m.start_us, lo) AS start_us, least(m.end_us, hi) AS end_us FROM per_, masks m UNION ALL
+miss0 AS (SELECT event_id, asset_id, greatest(m.start_us, lo) AS start_us, least(m.end_us, hi) AS end_us FROM per_, masks m UNION ALL
   SELECT event_id, asset_id, greatest(s, lo), least(us, hi) FROM (SELECT event_id, asset_id, lag(us) OVER (PARTITION BY event_id, asset_id ORDER BY us) AS s, us FROM test) JOIN per_ USING (event_id, asset_id) WHERE us - s > {SCORE_GAP}),
-lost1 AS (SELECT * FROM lost0 WHERE end_us > start_us),
-{union_of('lost1', 'lost', 'event_id, asset_id')},
+miss AS (SELECT * FROM miss0 WHERE end_us > start_us),
+{union_of('miss', 'lost', 'event_id, asset_id')},
 days AS (SELECT p.event_id, p.asset_id, greatest(hi - lo - coalesce(l.t, 0), 0) / 86400000000.0 AS days FROM per_ p LEFT JOIN (SELECT event_id, asset_id, CAST(sum(end_us - start_us) AS BIGINT) AS t FROM lost GROUP BY ALL) l USING (event_id, asset_id)),
 res AS (SELECT d.event_id, d.asset_id, coalesce(c.n, 0) AS n_episodes, coalesce(c.fa, 0) AS n_false_alarms, coalesce(c.ma, 0) AS n_masked, coalesce(c.det, FALSE) AS detected, NOT coalesce(c.det, FALSE) AND coalesce(c.con, FALSE) AS concurrent_only, c.lead_h, d.days,
   CASE WHEN d.days > 0 THEN coalesce(c.fa, 0) / d.days ELSE 0.0 END AS false_alarms_per_day FROM days d LEFT JOIN (SELECT event_id, asset_id, count(*) AS n, count(*) FILTER (category = 'false_alarm') AS fa, count(*) FILTER (category = 'masked') AS ma, bool_or(category = 'early_warning') AS det, bool_or(category = 'concurrent') AS con,
@@ -230,7 +230,7 @@ ORACLE_SQL: dict[str, str] = {
     "exclusion_union": f"WITH {EVENTS}, x AS (SELECT x0 AS start_us, x1 AS end_us FROM ev UNION ALL SELECT start_us, end_us FROM regions), {union_of('x', 'u')} SELECT start_us, end_us FROM u",
     "gap_union": f"WITH {TEL}, x AS (SELECT asset_id, s - {P.HOUR} AS start_us, us + {P.HOUR} AS end_us FROM (SELECT asset_id, us, lag(us) OVER ({BY}) AS s FROM tel) WHERE us - s > {GAP}), {union_of('x', 'u', 'asset_id')} SELECT asset_id, start_us, end_us FROM u",
     "normal_stretches": f"WITH {STRETCH} SELECT scope_id, start_us, end_us FROM stretch",
-    "fold_plan_table": f"WITH {FOLDS} SELECT f.event_id, train_start, train_end, test_start, test_end, CAST(count(h.start_us) AS INTEGER) AS n_exclusions, {r('(train_end - train_start - coalesce(sum(h.end_us - h.start_us), 0)) / 86400000000.0', 'training_days')} FROM fold f LEFT JOIN holes h USING (event_id) GROUP BY ALL",
+    "fold_plan_table": f"WITH {FOLDS} SELECT f.event_id, train_start, train_end, test_start, test_end, CAST(count(h.start_us) AS INTEGER) AS n_exclusions, {r('(train_end - train_start - coalesce(sum(h.end_us - h.start_us), 0)) / 86400000000.0', 'training_days')} FROM fold f LEFT JOIN holes h USING (event_id) GROUP BY f.event_id, train_start, train_end, test_start, test_end",
     "max_width": f"WITH {EVENTS} SELECT e.event_id, {r('greatest(0, least(e.start_us - 2 * e.emb - ds - 1000000, coalesce((SELECT min(e.start_us - e.emb - x.x1) FROM ev x WHERE x.start_us < e.start_us), 9000000000000000000))) / 3.6e9', 'width_h')} FROM ev e, bounds",
     "train_slice": f"WITH {TRAIN} SELECT event_id, asset_id, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM train GROUP BY ALL",
     "test_slice": f"WITH {TRAIN} SELECT event_id, asset_id, us FROM test",

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 US_PER_DAY = 86_400_000_000
 
@@ -25,6 +26,11 @@ def no_nan(column: str | Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def with_fields(df: DataFrame, *names: str) -> T.StructType:
+    """df's schema and further double columns (a schema object is shared, so it is never added to in place)."""
+    return T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
+
+
 def guard_columns(df: DataFrame, known: Iterable[str], keys: Sequence[str] = ("asset_id", "scope_id", "ts", "us", "regime")) -> None:
     """Raise for columns that no list names."""
     if unknown := sorted(set(df.columns) - set(known) - set(keys)):

@@ -102,6 +102,6 @@ def rolling_median(df: DataFrame, column: str, width_us: int, out: str, by: Sequ
 
 
 def ratio(value: str | Column, base: str | Column) -> Column:
-    """value / base; x / 0 is infinite, 0 / 0 missing."""
+    """value / base; x / 0 is infinite, 0 / 0 and anything over a missing base are missing."""
     v, b = (F.col(x) if isinstance(x, str) else x for x in (value, base))
-    return F.when(b != 0, v / b).when(v > 0, F.lit(float("inf"))).when(v < 0, F.lit(float("-inf")))
+    return F.when(b != 0, v / b).when((b == 0) & (v > 0), F.lit(float("inf"))).when((b == 0) & (v < 0), F.lit(float("-inf")))

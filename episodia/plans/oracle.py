@@ -66,7 +66,7 @@ def frame(width: int) -> str:
 
 
 def ratio(v: str, b: str) -> str:
-    return f"CASE WHEN {b} <> 0 THEN {v} / {b} WHEN {v} > 0 THEN CAST('Infinity' AS DOUBLE) WHEN {v} < 0 THEN CAST('-Infinity' AS DOUBLE) END"
+    return f"CASE WHEN {b} <> 0 THEN {v} / {b} WHEN {b} = 0 AND {v} > 0 THEN CAST('Infinity' AS DOUBLE) WHEN {b} = 0 AND {v} < 0 THEN CAST('-Infinity' AS DOUBLE) END"
 
 
 FEATURES = f"""{runs(GAP)}, {PERIOD},

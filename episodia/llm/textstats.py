@@ -42,17 +42,19 @@ def base_counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _duplicate_lines(data, at, word_starts, sums) -> tuple[np.ndarray, np.ndarray]:
+    n = len(at) - 1
+    if not len(data):
+        return np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     breaks = np.flatnonzero(data == 0x0A)
     starts = np.union1d(at[:-1], breaks + 1)
     starts = starts[starts < len(data)]
     ends = np.concatenate([starts[1:], [len(data)]])
-    ends = ends - (data[ends - 1] == 0x0A) if len(ends) else ends
+    ends = ends - (data[ends - 1] == 0x0A)
     filled = np.searchsorted(word_starts, ends) > np.searchsorted(word_starts, starts)
     starts, ends = starts[filled], ends[filled]
     text = np.searchsorted(at, starts, side="right") - 1
     keys = tk.mix(tk.byte_hash(sums, starts, ends) + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     _, seen = np.unique(keys, return_index=True)
-    n = len(at) - 1
     lines = np.bincount(text, minlength=n)
     return lines - np.bincount(text[seen], minlength=n), lines
 

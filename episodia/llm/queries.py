@@ -1,5 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
+from . import oracle
 from .decontaminate import op5_benchmark_decontamination
 from .language_id import op3_language_id
 from .mixing import op2_mixing
@@ -26,4 +27,10 @@ QUERIES = {
         op10_sharding,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The others learn models, hash with XXH64, or search for cuts: they are tested against brute force in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": oracle.OP1,
+    "op5_benchmark_decontamination": oracle.OP5,
+    "op7_suffix_array_dedup": oracle.OP7,
+    "op9_warc": oracle.OP9,
+}

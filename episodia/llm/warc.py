@@ -204,4 +204,4 @@ def archived(pages: DataFrame, path: str | None = None, revisit_from: int = REVI
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = archived(table(spark, sf_dir, "pages"))
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "intact")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

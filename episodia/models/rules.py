@@ -30,6 +30,8 @@ class RuleModel:
 
     def quantities(self, df: DataFrame) -> DataFrame:
         """Adds q_<rule> for every enabled rule: run-level values first, then their ratio to a moving baseline."""
+        if self.contributors == ["high_duty_ratio"]:  # needs no runs
+            return df.withColumn("q_high_duty_ratio", duty_ratio(micros(self.features.duty), self.by))
         gap = micros(self.features.gap)
         runs = slopes(df, self.features.decay_channel, gap, self.by)
         peaks = with_runs(df, "regime", gap, self.by).groupBy(*self.by, "run_id").agg(F.max(self.features.decay_channel).alias("peak"))

@@ -24,3 +24,22 @@ EVALUATION = EvaluationSettings(widths_h=WIDTHS, quantile=0.95, quantiles=QUANTI
 DATA_START, DATA_END = datetime(2024, 1, 1), datetime(2024, 1, 30)
 INTERVAL_US, LENGTH, STRIDE, TOLERANCE = 12 * MIN, 10, 2, 0.1
 SCORE_THRESHOLD = 0.9
+
+
+def _settings():
+    from ..config import ForestSettings, ReconstructionSettings, ScalingSettings, Settings, WindowSettings
+
+    every = ("value",)
+    scaling = ScalingSettings(channels=every, passthrough=("is_error", "is_view"), min_samples=10, active={"LOADED": every, "OFFLOAD": every, "STOPPED": every, "TRANSITION": ()})
+    windows = WindowSettings(window="2h", stride_train="24min", stride_score="12min", gap="80min")
+    return Settings(SPLIT, EVALUATION, REGIMES, FEATURES, scaling, windows, RULES, ForestSettings(trees=30, max_samples=128), ReconstructionSettings(bottleneck=4))
+
+
+def _us(t):
+    from ..operators.folds import at
+
+    return at(t)
+
+
+SETTINGS = _settings()
+US_START, US_END = _us(DATA_START), _us(DATA_END)

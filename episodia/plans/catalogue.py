@@ -13,7 +13,7 @@ from ..models.forest import IsolationForest
 from ..models.reconstruct import Reconstruction, with_windows
 from ..models.rules import RuleModel
 from ..config import ForestSettings, ReconstructionSettings, ScalingSettings
-from ..operators import chance, cycles, episodes, folds, intervals, ordered, rank, regimes, sampling, scaling
+from ..operators import chance, cycles, episodes, exploration, folds, intervals, ordered, rank, regimes, sampling, scaling
 from ..schema import US_PER_DAY
 from ..sources.telemetry import telemetry
 from . import params as P
@@ -428,6 +428,41 @@ def skill_table(spark, d):
     return rounded(chance.skill(joined, ["asset_id"]))
 
 
+# --- exploration ------------------------------------------------------------
+
+
+@query
+def describe_channels(spark, d):
+    return rounded(exploration.describe(telemetry(spark, d), ["value", "is_error"]))
+
+
+@query
+def flag_separation(spark, d):
+    return rounded(exploration.flag_separation(telemetry(spark, d), FLAGS, F.col("value") < 35))
+
+
+@query
+def mode_shift(spark, d):
+    return rounded(exploration.mode_shift(telemetry(spark, d), "value", F.col("is_click") == 1, (30.0, 40.0)))
+
+
+@query
+def stats_drift(spark, d):
+    t = telemetry(spark, d)
+    return rounded(exploration.stats_drift(t.where(F.col("us") < folds.at(P.EVENTS[1].start)), t, ["value"]))
+
+
+@query
+def smoothed_durations(spark, d):
+    return rounded(exploration.smoothed_durations(labelled(spark, d), "STOPPED", GAP))
+
+
+@query
+def max_against_train(spark, d):
+    f, s = fold_df(spark), scored(spark, d)
+    return rounded(exploration.max_against_train(folds.train_rows(s, f), folds.test_rows(s, f), "score", ["event_id", "asset_id"]))
+
+
 # --- models without an SQL form ---------------------------------------------
 
 

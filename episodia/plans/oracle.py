@@ -251,4 +251,10 @@ ORACLE_SQL: dict[str, str] = {
     "chance_poisson": f"WITH {FOLD_EP} SELECT event_id, asset_id, {r('1 - exp(-false_alarms_per_day)', 'p_poisson')} FROM res",
     "chance_permutation": f"WITH {PERM} SELECT event_id, asset_id, {r('p_permutation', 'p_permutation')}, n_valid FROM perm",
     "skill_table": f"WITH RECURSIVE {PERM}, j AS (SELECT asset_id, detected, p_permutation AS p, row_number() OVER (PARTITION BY asset_id ORDER BY event_id) AS i FROM res JOIN perm USING (event_id, asset_id)), outcomes AS (SELECT asset_id, CAST(0 AS BIGINT) AS i, 0 AS hits, 1.0e0 AS pr FROM (SELECT DISTINCT asset_id FROM j) UNION ALL SELECT o.asset_id, o.i + 1, o.hits + b.b, o.pr * CASE WHEN b.b = 1 THEN j.p ELSE 1 - j.p END FROM outcomes o JOIN j ON j.asset_id = o.asset_id AND j.i = o.i + 1, (VALUES (0), (1)) b(b)), g AS (SELECT asset_id, sum(p) AS expected, CAST(count(*) FILTER (detected) AS INTEGER) AS observed, max(i) AS n FROM j GROUP BY asset_id) SELECT g.asset_id, {r('any_value(expected)', 'expected')}, any_value(observed) AS observed, {r('sum(pr) FILTER (hits >= observed)', 'p_skill')} FROM g JOIN outcomes o ON o.asset_id = g.asset_id AND o.i = g.n GROUP BY g.asset_id",
+    "describe_channels": f"WITH {TEL} " + " UNION ALL ".join(f"SELECT '{c}' AS channel, count({c}) AS n, {r(f'avg({c})', 'mean')}, {r(f'stddev_samp({c})', 'std')}, {r(f'min({c})', 'lo')}, {r(q(.25, c), 'q25')}, {r(q(.5, c), 'median')}, {r(q(.75, c), 'q75')}, {r(f'max({c})', 'hi')} FROM tel" for c in ("value", "is_error")),
+    "flag_separation": f"WITH {TEL} " + " UNION ALL ".join(f"SELECT '{c}' AS flag, {r(f'abs(avg({c}) FILTER (value < 35) - avg({c}) FILTER (value >= 35))', 'separation')} FROM tel" for c in ("is_click", "is_error", "is_view")),
+    "mode_shift": f"WITH {TEL}, a AS (SELECT {q(.25)} AS a, {q(.5)} AS b, {q(.75)} AS c FROM tel WHERE is_click = 1), z AS (SELECT {q(.25)} AS a, {q(.5)} AS b, {q(.75)} AS c FROM tel WHERE is_click <> 1) SELECT {r('a.b', 'low_median')}, {r('a.c - a.a', 'low_iqr')}, {r('z.b', 'high_median')}, {r('z.c - z.a', 'high_iqr')}, {r('abs(a.b - z.b)', 'shift')}, {r('(SELECT avg(CAST(value BETWEEN 30 AND 40 AS DOUBLE)) FROM tel)', 'valley_share')} FROM a, z",
+    "stats_drift": f"WITH {TEL}, a AS (SELECT {q(.5)} AS m, {q(.75)} - {q(.25)} AS i FROM tel WHERE us < {at(P.EVENTS[1].start)}), z AS (SELECT {q(.5)} AS m, {q(.75)} - {q(.25)} AS i FROM tel) SELECT 'value' AS channel, {r('a.m', 'part_center')}, {r('a.i', 'part_iqr')}, {r('z.m', 'whole_center')}, {r('z.i', 'whole_iqr')}, {r('(a.m - z.m) / z.m * 100', 'center_percent')}, {r('(a.i - z.i) / z.i * 100', 'iqr_percent')} FROM a, z",
+    "smoothed_durations": f"WITH {REG}, s0 AS (SELECT asset_id, us, CASE WHEN us - lag(us) OVER ({BY}) > {GAP} OR lag(us) OVER ({BY}) IS NULL THEN 1 ELSE 0 END AS fresh FROM reg WHERE regime = 'STOPPED'), s1 AS (SELECT *, CAST(sum(fresh) OVER ({BY} {SO_FAR}) AS BIGINT) AS run_id FROM s0), s2 AS (SELECT asset_id, run_id, min(us) AS start_us, (max(us) - min(us)) / 1e6 AS duration_s FROM s1 GROUP BY ALL) SELECT asset_id, run_id, start_us, {r('duration_s', 'duration_s')}, {r('CASE WHEN count(*) OVER w >= 20 THEN median(duration_s) OVER w END', 'smoothed_s')} FROM s2 WINDOW w AS (PARTITION BY asset_id ORDER BY run_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)",
+    "max_against_train": f"WITH {TRAIN}, t AS (SELECT event_id, asset_id, max(value / 100) AS top FROM test GROUP BY ALL) SELECT event_id, asset_id, {r('any_value(top)', 'top')}, {r('avg(CAST(value / 100 < top AS DOUBLE)) * 100', 'percent_below')} FROM train JOIN t USING (event_id, asset_id) GROUP BY event_id, asset_id",
 }

@@ -30,11 +30,21 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Lets Spark delete a query's shuffle files as soon as the query has ended.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df, written as Parquet into the shared folder and read again (columnar, so small)."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df, written as Parquet into the shared folder and read again (columnar, so small). Its shuffle files go at once."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_SHUFFLES) if before is None else spark.conf.set(CLEAN_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:
@@ -47,19 +57,19 @@ def dropped(df: DataFrame) -> None:
             fs.delete(path, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of plans that are no longer referenced."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def held_out(doc_id: Column) -> Column:
     """True for documents whose labels no model may see; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def bounded_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """All of df, or about `rows` of it by a hash of the key (which should be distinct). No row is moved."""
+    total = df.count()
+    if total <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < int((1 << 30) * (rows / total)))
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 
-CHUNK_BYTES = 24_000_000
+CHUNK_BYTES = 8_000_000
 BUCKET_BYTES = 16_000_000
 
 BLOBS = "kind int, at long, chunk long, blob binary"

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as ex
 from . import textkit as tk
-from .common import pieces, release_shuffles, table, text_bytes, written
+from .common import pieces, table, text_bytes, written
 
 WINDOW = 20
 BLOCK = 10
@@ -158,11 +158,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     size = text_bytes(docs)
     buckets = pieces(size, ex.BUCKET_BYTES)
     hits = written(ex.resolve(probe_blobs(docs, buckets), block_hits), "block-hits")
-    release_shuffles(docs.sparkSession)
     stream = ex.with_spans(docs, hits, pieces(size, ex.CHUNK_BYTES))
-    spans = written(ex.resolve(window_blobs(stream, buckets), later_windows), "repeat-spans")
-    release_shuffles(docs.sparkSession)
-    return spans
+    return written(ex.resolve(window_blobs(stream, buckets), later_windows), "repeat-spans")
 
 
 def kept_words(data: np.ndarray, at: np.ndarray, spans: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as ex
 from . import textkit as tk
-from .common import pieces, release_shuffles, table, text_bytes, written
+from .common import pieces, table, text_bytes, written
 
 LENGTH = 100
 SEED = 24
@@ -42,7 +42,9 @@ SEED = 24
 SEEDS = LENGTH - SEED + 1
 LEFT, RIGHT = SEEDS - 1, LENGTH
 #: Contexts sorted at once (whole groups).
-SORT_AT_ONCE = 40_000
+SORT_AT_ONCE = 20_000
+#: Text bytes hashed at once; every byte needs some ten 8-byte temporaries.
+SLICE = 1_000_000
 _PLACE_BITS = 27
 
 
@@ -64,7 +66,7 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     if len(data) < LENGTH:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), sums
     n = len(data) - SEED + 1
-    hashes = tk.byte_hash(sums, np.arange(n), np.arange(SEED, SEED + n))
+    hashes = tk.mix((sums[SEED : SEED + n] - sums[:n]) * tk.powers(len(sums))[1][:n])
     low = np.uint64((1 << max(_PLACE_BITS, len(data).bit_length())) - 1)
     least = _window_min((hashes & ~low) | np.arange(n, dtype=np.uint64), SEEDS)
     inside = np.zeros(len(least), dtype=bool)
@@ -92,7 +94,7 @@ def seed_blobs(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = ex.Chunk(TaskContext.get().partitionId() << 24)
         for whole in batches:
-            for batch in tk.slices(whole):
+            for batch in tk.slices(whole, limit=SLICE):
                 data, at = tk.buffers(batch.column(1))
                 places, hashes, _ = anchors(data, at)
                 begin = chunk.add(batch.column(0), batch.column(2).to_numpy(), np.zeros(batch.num_rows, dtype=np.int64), at, int(at[-1]))
@@ -133,7 +135,7 @@ def context_blobs(stream: DataFrame, buckets: int) -> DataFrame:
         for whole in batches:
             texts, spans, numbers = ex.attached(whole, state)
             done = 0
-            for batch in tk.slices(texts, "text"):
+            for batch in tk.slices(texts, "text", SLICE):
                 data, at = tk.buffers(batch.column(2))
                 mine = spans[done : done + batch.num_rows]
                 begin = chunk.add(batch.column(0), batch.column(1).to_numpy(), numbers[done : done + batch.num_rows], at, int(at[-1]))
@@ -322,11 +324,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     size = text_bytes(docs)
     buckets = pieces(size, ex.BUCKET_BYTES)
     hits = written(ex.resolve(seed_blobs(docs, buckets), shared_seeds), "seed-hits")
-    release_shuffles(docs.sparkSession)
     stream = ex.with_spans(docs, hits, pieces(size, ex.CHUNK_BYTES))
-    spans = written(ex.resolve(context_blobs(stream, buckets), later_strings), "repeat-spans")
-    release_shuffles(docs.sparkSession)
-    return spans
+    return written(ex.resolve(context_blobs(stream, buckets), later_strings), "repeat-spans")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -338,7 +337,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         for whole in batches:
             texts, marks, _ = ex.attached(whole, state)
             done = 0
-            for batch in tk.slices(texts, "text"):
+            for batch in tk.slices(texts, "text", SLICE):
                 data, at = tk.buffers(batch.column(2))
                 mine = marks[done : done + batch.num_rows]
                 done += batch.num_rows

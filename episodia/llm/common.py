@@ -47,16 +47,6 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files that written() made for df."""
-    spark = df.sparkSession
-    for name in df.inputFiles():
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(path):
-            fs.delete(path, True)
-
-
 def held_out(doc_id: Column) -> Column:
     """True for documents whose labels no model may see; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

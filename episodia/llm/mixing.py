@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import table, written
+from .common import bounded_sample, table, written
 
 N_BUCKETS = 1 << 14
-#: The classifier learns from at most so many labelled rows (those with the smallest id hash).
+#: The classifier learns from about so many labelled rows at most (by id hash).
 MAX_LABELLED = 20_000
 #: Wanted shares of domains in the corpus's tokens. The others keep what they have, or less where that is more than these leave.
 TARGETS = {"quality1-toxic0": 0.93, "quality1-toxic1": 0.06}
@@ -64,7 +64,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> Classifier:
     """Word counts by domain over a bounded set of labelled rows, then the sharpness that fits their labels best."""
     named = F.concat(F.lit("quality"), F.col("quality").cast("string"), F.lit("-toxic"), F.coalesce("toxic", F.lit(0)).cast("string"))
     some = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(named).alias("domain"))
-    rows = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED).collect()
+    rows = bounded_sample(some, MAX_LABELLED, "doc_id").collect()
     names = sorted({r["domain"] for r in rows})
     if not names:
         return Classifier(["all"], np.ones(1), np.zeros((1, N_BUCKETS)))

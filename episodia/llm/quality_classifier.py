@@ -6,7 +6,7 @@ rules' truth values keeps a few of them, and the result is compiled into one
 Spark column expression over the statistics, so scoring is native.
 
 The trees and weights are fitted on a bounded sample of labelled rows
-(`MAX_ROWS`, those with the smallest id hash); statistics cover whole texts of
+(about `MAX_ROWS` at most, by id hash); statistics cover whole texts of
 all documents.
 
 Defined results: a null or empty text has zero statistics and is scored like
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import held_out, table, written
+from .common import bounded_sample, held_out, table, written
 from .textstats import classifier_counts
 
 MAX_ROWS = 20_000
@@ -166,7 +166,7 @@ class RuleEnsemble:
 def fit(stats: DataFrame, labels: DataFrame) -> RuleEnsemble:
     """stats: statistics(); labels: (doc_id, quality) rows that may be learned from."""
     some = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS)
+    some = bounded_sample(some, MAX_ROWS, "doc_id")
     rows = stats.join(some, "doc_id").select("doc_id", "quality", *feature_columns()).toPandas().sort_values(["doc_id", *FEATURES])
     x, y = rows[list(FEATURES)].to_numpy(dtype=np.float64), (rows["quality"].to_numpy() == 1).astype(np.float64)
     if not len(y) or y.min() == y.max():

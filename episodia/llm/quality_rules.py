@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import table
+from .common import bounded_sample, table
 from .textstats import base_counts
 
 N_GRAM = 4
 N_BUCKETS = 1 << 16
-#: At most so many trusted documents are used (those with the smallest id hash); their ids are sent to every task.
+#: About so many trusted documents are used at most (by id hash); their ids are sent to every task.
 MAX_TRUSTED = 20_000
 #: Nats per n-gram below which a document is rejected.
 THRESHOLD = -0.6
@@ -75,8 +75,7 @@ def _counting(trusted: np.ndarray):
 def fit_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log p_trusted - log p_raw of every bucket: N_BUCKETS numbers, whatever the input's size."""
     trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    trusted = trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRUSTED)
-    ids = np.sort(np.array([r[0] for r in trusted.collect()], dtype=np.int64))
+    ids = np.sort(np.array([r[0] for r in bounded_sample(trusted, MAX_TRUSTED, "doc_id").collect()], dtype=np.int64))
     part = docs.select("doc_id", "text").mapInArrow(_counting(ids), "bucket int, raw long, good long")
     rows = part.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
     raw, good = np.zeros(N_BUCKETS), np.zeros(N_BUCKETS)

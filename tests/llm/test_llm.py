@@ -65,7 +65,7 @@ def test_words_and_hashes():
 def test_slices_cover_all_rows():
     batch = pa.record_batch({"text": pa.array(["a" * n for n in (5, 50, 1, 1, 200, 3)])})
     parts = list(textkit.slices(batch, limit=20))
-    assert sum(p.num_rows for p in parts) == 6 and max(p.num_rows for p in parts) == 2 or True
+    assert len(parts) > 2
     assert pa.Table.from_batches(parts).column(0).to_pylist() == batch.column(0).to_pylist()
 
 
@@ -431,7 +431,7 @@ def test_archives_round_trip(spark, tmp_path):
 def test_null_and_repeated_pages(spark, tmp_path):
     pages = spark.createDataFrame([(None, "u", "x"), (3, "u", "x"), (3, "u", "x"), (None, "v", "y"), (None, "v", "y")], "page_id long, url string, html string")
     got = sorted((r["page_id"] or -1, r["record_type"], r["refers_to"]) for r in warc.archived(pages, str(tmp_path / "w")).collect())
-    assert got == [(-1, "response", None), (-1, "response", None), (-1, "revisit", 3), (3, "response", None), (3, "response", None)] or [g[1] for g in got].count("revisit") == 1
+    assert got == [(-1, "response", None), (-1, "response", None), (-1, "revisit", 3), (3, "response", None), (3, "response", None)]
 
 
 def test_loser_tree():

@@ -383,6 +383,27 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in language_id.identified(odd, language_id.learn(train.limit(0))).collect()} == {"und"}
 
 
+def test_language_tables_hold_every_gram(spark):
+    rng = random.Random(14)
+    a = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöüßéèêëàâîïôûùçñ ") for _ in range(4000)) for _ in range(600)]
+    b = ["straße und haus", "die nacht war kühl"]
+    train = table(spark, a, 0, "en").unionByName(table(spark, b, 1000, "de"))
+    model, texts = language_id.learn(train), [*a[:3], *b, "die straße", "漢字 haus", None]
+    got = {r["doc_id"]: r for r in language_id.entropies(table(spark, texts).select("doc_id", "text"), model).collect()}
+    counts = {}
+    for lang, own in (("de", b), ("en", a)):
+        counts[lang] = np.unique(language_id.gram_keys(*language_id.letters(*textkit.buffers(pa.array(own)))[:2])[0], return_counts=True)
+    assert [model.tables[-1].where(f"lang = '{x}'").count() for x in ("de", "en")] == [len(counts[x][0]) for x in ("de", "en")]
+    alphabet = len(np.unique(np.concatenate([k for k, _ in counts.values()]) & np.uint64(0xFFFF))) + 1
+    for k, lang in enumerate(("de", "en")):
+        m = language_id.Model(*counts[lang], alphabet)
+        for i, text in enumerate(texts):
+            keys, _ = language_id.gram_keys(*language_id.letters(*textkit.buffers(pa.array([text])))[:2])
+            assert abs(got[i]["entropy"][k] + m.log_p(keys).mean()) < 1e-4
+    rare = {r["doc_id"]: r["lang_pred"] for r in language_id.identified(table(spark, texts), model).collect()}
+    assert rare[3] == rare[4] == rare[5] == "de" and rare[0] == "en"
+
+
 # --- op2 --------------------------------------------------------------------
 
 

@@ -23,13 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import bounded_sample, table
+from .common import table
 from .textstats import base_counts
 
 N_GRAM = 4
 N_BUCKETS = 1 << 16
-#: About so many trusted documents are used at most (by id hash); their ids are sent to every task.
-MAX_TRUSTED = 20_000
 #: Nats per n-gram below which a document is rejected.
 THRESHOLD = -0.6
 SMOOTHING = 1.0
@@ -56,32 +54,30 @@ def gram_buckets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ((packed * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64) & (N_BUCKETS - 1), offsets
 
 
-def _counting(trusted: np.ndarray):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, good = np.zeros(N_BUCKETS, dtype=np.int64), np.zeros(N_BUCKETS, dtype=np.int64)
-        for whole in batches:
-            for batch in tk.slices(whole):
-                data, at = tk.buffers(batch.column(1))
-                grams, offsets = gram_buckets(data, at)
-                raw += np.bincount(grams, minlength=N_BUCKETS)
-                chosen = np.isin(batch.column(0).fill_null(-1).to_numpy(), trusted) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-                good += np.bincount(grams[np.repeat(chosen, np.diff(offsets))], minlength=N_BUCKETS)
-        at = np.flatnonzero(raw)
-        yield pa.record_batch({"bucket": pa.array(at, pa.int32()), "raw": raw[at], "good": good[at]})
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(N_BUCKETS, dtype=np.int64)
+    for whole in batches:
+        for batch in tk.slices(whole):
+            n += np.bincount(gram_buckets(*tk.buffers(batch.column(0)))[0], minlength=N_BUCKETS)
+    at = np.flatnonzero(n)
+    yield pa.record_batch({"bucket": pa.array(at, pa.int32()), "n": n[at]})
 
-    return count
+
+def bucket_counts(docs: DataFrame) -> np.ndarray:
+    """The n-grams of all texts by bucket."""
+    rows = docs.select("text").mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(N_BUCKETS)
+    out[rows["bucket"]] = rows["n"]
+    return out
 
 
 def fit_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """log p_trusted - log p_raw of every bucket: N_BUCKETS numbers, whatever the input's size."""
-    trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    ids = np.sort(np.array([r[0] for r in bounded_sample(trusted, MAX_TRUSTED, "doc_id").collect()], dtype=np.int64))
-    part = docs.select("doc_id", "text").mapInArrow(_counting(ids), "bucket int, raw long, good long")
-    rows = part.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
-    raw, good = np.zeros(N_BUCKETS), np.zeros(N_BUCKETS)
-    raw[rows["bucket"]], good[rows["bucket"]] = rows["raw"], rows["good"]
+    """log p_trusted - log p_raw of every bucket: N_BUCKETS numbers, counted over all rows and all trusted rows."""
+    trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id")
+    good = bucket_counts(docs.select("doc_id", "text").join(trusted, "doc_id", "left_semi"))
     if not good.sum():
         return np.zeros(N_BUCKETS)
+    raw = bucket_counts(docs)
     p = lambda x: np.log((x + SMOOTHING) / (x.sum() + SMOOTHING * N_BUCKETS))
     return p(good) - p(raw)
 

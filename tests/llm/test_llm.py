@@ -350,6 +350,15 @@ def test_compiled_rules_equal_their_truth(spark):
     assert np.allclose(got, 1 / (1 + np.exp(-want)))
 
 
+def test_every_trusted_document_counts(spark):
+    rng = random.Random(15)
+    texts = [f"{rng.choice(WORDS)} {i}" for i in range(25_000)]
+    labels = spark.createDataFrame([(i, 1, None) for i in range(24_000)] + [(3, 1, 0), (None, 1, 0), (24_500, 0, 0), (24_600, 1, 1)], "doc_id long, quality int, toxic int")
+    counts = [np.bincount(quality_rules.gram_buckets(*textkit.buffers(pa.array(t)))[0], minlength=quality_rules.N_BUCKETS) for t in (texts[:24_000], texts)]
+    good, raw = (np.log((n + 1) / (n.sum() + quality_rules.N_BUCKETS)) for n in counts)
+    assert np.allclose(quality_rules.fit_ratios(table(spark, texts), labels), good - raw)
+
+
 # --- op3 --------------------------------------------------------------------
 
 

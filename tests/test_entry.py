@@ -32,6 +32,12 @@ def test_spark_equals_sql(spark, name):
     assert got == sorted(want, key=repr)
 
 
+@needs_data
+def test_ablation_covers_every_scored_row(spark):
+    got, want = (catalogue.QUERIES[q](spark, "/root/testdata/sf0.01").select("asset_id", "us").collect() for q in ("iforest_ablation", "iforest_scores"))
+    assert want and sorted(got) == sorted(want)
+
+
 @needs_data
 def test_plans_stay_in_the_jvm(spark):
     text = catalogue.QUERIES["alert_episodes"](spark, SF)._jdf.queryExecution().toString()

@@ -3,9 +3,13 @@
 Equal texts form one atomic group; groups are ordered by the MD5 of their text.
 The smallest capacity C for which the ordered groups can be cut into at most
 `SHARDS` runs of at most C bytes is found by binary search with a greedy check.
-The groups never come to the driver: it sees sums by leading hex digits of the
-key (at most 16**DIGITS of them) and asks for more digits only in the ranges
-where a cut may still fall, so what it holds does not grow with the corpus.
+The groups never come to the driver. It sees the groups that hold a 16**-DIGITS
+share of the bytes or more (so at most 16**DIGITS of them) one by one, and all
+others as sums over ranges of keys, which begin at leading hex digits of the key
+or behind such a large group. It asks for more digits in ranges above a small
+share of a shard, then in those where a cut may still fall: some tens of ranges,
+each of which becomes 16**MORE_DIGITS at most. So what it holds does not grow
+with the corpus, and a hot group does not widen the search.
 Among the cuts that keep every shard within C, the one nearest to an equal
 share of the rest is taken, so a group above the mean leaves no shard needlessly
 empty.
@@ -15,9 +19,11 @@ Slots number the rows of a shard from 0 without gaps: rows are dealt into
 there, and shifted by the counts of the earlier parts.
 
 Defined results: a null text counts as empty (size 1, CRC 0) and shares the
-empty text's group; null ids and repeated rows get slots of their own; fewer
-groups than shards leave shards empty; an empty table gives no rows; other
-columns are ignored.
+empty text's group; null ids and repeated rows get slots of their own; a text
+longer than a mean shard is a group of its own that sets the capacity; among
+cuts equally near to the wanted place the earlier is taken; fewer groups than
+shards leave shards empty; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 SHARDS = 8
-DIGITS = 3
+DIGITS, MORE_DIGITS = 3, 2
 SLOT_PARTS = 2048
 
 
@@ -87,7 +93,10 @@ class Ordered:
         return found[0], found[1]
 
     def open_ranges(self, shards: int) -> list[str]:
-        """The prefixes of ranges in which a cut may fall."""
+        """The ranges to see more of: those above an eighth of a mean shard (fewer than 8 * shards), else those in which a cut may fall."""
+        wide = [k for k, (n, _, _) in self.items.items() if n * 8 * shards > self.total]
+        if wide := [k for k in wide if self.items[k][2] > 1]:
+            return wide
         least, most = self.bounds(shards)
         out: set[str] = set()
         for (low, _), (_, high) in zip(self.reach(least, shards - 1), self.reach(most, shards - 1), strict=True):
@@ -121,19 +130,33 @@ class Ordered:
 
 def minimax_cuts(groups: DataFrame, shards: int = SHARDS) -> list[str]:
     """Where to cut the groups (key, bytes), ordered by key: shards - 1 first keys."""
+    digits = DIGITS
+    total = groups.agg(F.sum("bytes").alias("n")).first()["n"] or 0
+    large = [r["key"] for r in groups.where(F.col("bytes") * F.lit(16**DIGITS) >= F.lit(total)).select("key").collect()]
+    by_prefix: dict[str, list[str]] = {}
+    for k in large:
+        by_prefix.setdefault(k[:DIGITS], []).append(k)
+    # at most 16**DIGITS keys in all
+    known = groups.sparkSession.createDataFrame(list(by_prefix.items()), "prefix string, large array<string>")
+    groups = groups.withColumn("prefix", F.substring("key", 1, DIGITS)).join(F.broadcast(known), "prefix", "left")
+
+    def start(digits: int) -> Column:
+        """The range of a key, by the least name that it may hold: `+` comes before all digits and after the end of a key."""
+        behind = F.concat(F.array_max(F.filter("large", lambda k: k < F.col("key"))), F.lit("+"))
+        return F.when(F.array_contains("large", F.col("key")), F.col("key")).otherwise(F.greatest(F.substring("key", 1, digits), behind))
 
     def summed(df: DataFrame, digits: int) -> dict[str, tuple[int, int, int]]:
-        rows = df.groupBy(F.substring("key", 1, digits).alias("p")).agg(F.sum("bytes").alias("b"), F.max("bytes").alias("m"), F.count("*").alias("n")).collect()
+        rows = df.groupBy(start(digits).alias("p")).agg(F.sum("bytes").alias("b"), F.max("bytes").alias("m"), F.count("*").alias("n")).collect()
         return {r["p"]: (r["b"], r["m"], r["n"]) for r in rows}
 
-    items, digits = summed(groups, DIGITS), DIGITS
-    while (wanted := Ordered(items).open_ranges(shards)) and digits < 32:
-        digits = min(digits + DIGITS, 32)
-        inside = F.lit(False)
-        for p in wanted:
-            inside = inside | F.col("key").startswith(p)
-        finer = summed(groups.where(inside), digits)
-        items = {k: v for k, v in items.items() if k not in set(wanted)} | finer
+    items = summed(groups, digits)
+    depth = dict.fromkeys(items, digits)
+    while wanted := Ordered(items).open_ranges(shards):
+        for digits in sorted({depth[p] for p in wanted}):
+            own = [p for p in wanted if depth[p] == digits]
+            finer = summed(groups.where(start(digits).isin(own)), more := min(digits + MORE_DIGITS, 32))
+            items = {k: v for k, v in items.items() if k not in set(own)} | finer
+            depth |= dict.fromkeys(finer, more)
     return Ordered(items).cuts(shards)
 
 

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FeatureSettings, RuleSettings, micros
-from ..operators.cycles import OFFLOAD, STOPPED, attach_to_rows, baseline_lagged, baseline_trailing, duty_ratio, slopes
-from ..operators.ordered import last_completed, with_runs
-from ..operators.rank import percentile_rank
+from ..operators.cycles import OFFLOAD, STOPPED, baselines, duty_ratio
+from ..operators.ordered import with_last_runs
+from ..operators.rank import percentile_ranks
 
 #: Canonical order, and the side on which each quantity is abnormal.
 RULES = {"short_stopped_duration": "low", "fast_pressure_decay": "high", "low_peak_pressure": "low", "high_duty_ratio": "high"}
-RELATIVE = ("short_stopped_duration", "fast_pressure_decay", "low_peak_pressure")
+#: Label, fact of the last finished run, and whether a truncated run hides it.
+RUN_FACTS = {"short_stopped_duration": (STOPPED, "duration_s", True), "fast_pressure_decay": (STOPPED, "abs_slope", False), "low_peak_pressure": (OFFLOAD, "peak", True)}
+RELATIVE = tuple(RUN_FACTS)
 
 
 class RuleModel:
@@ -28,48 +30,51 @@ class RuleModel:
         self.contributors = [r for r in RULES if r in rules.enabled]
         self.train: DataFrame | None = None
 
-    def quantities(self, df: DataFrame) -> DataFrame:
-        """Adds q_<rule> for every enabled rule: run-level values first, then their ratio to a moving baseline."""
-        if self.contributors == ["high_duty_ratio"]:  # needs no runs
-            return df.withColumn("q_high_duty_ratio", duty_ratio(micros(self.features.duty), self.by))
-        gap = micros(self.features.gap)
-        runs = slopes(df, self.features.decay_channel, gap, self.by)
-        peaks = with_runs(df, "regime", gap, self.by).groupBy(*self.by, "run_id").agg(F.max(self.features.decay_channel).alias("peak"))
-        runs = runs.join(peaks, [*self.by, "run_id"])
-        runs = last_completed(runs, "regime", STOPPED, F.col("duration_s"), "__short_stopped_duration", self.by)
-        runs = last_completed(runs, "regime", STOPPED, F.abs("slope"), "__fast_pressure_decay", self.by, void_if_truncated=False)
-        runs = last_completed(runs, "regime", OFFLOAD, F.col("peak"), "__low_peak_pressure", self.by)
-        rows = attach_to_rows(df, runs, [f"__{r}" for r in RELATIVE], gap, self.by)
-        for r in RELATIVE:
-            if r not in self.contributors:
-                continue
-            width = micros(self.rules.baseline)
-            if self.rules.mode == "trailing":
-                rows = baseline_trailing(rows, f"__{r}", width, f"q_{r}", self.by)
-            else:
-                rows = baseline_lagged(rows, f"__{r}", width, micros(self.rules.lag), f"q_{r}", self.by)
+    def quantities(self, df: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
+        """Adds q_<rule> for every enabled rule: values of the last finished runs, then their ratio to a moving baseline."""
+        by = by or self.by
         if "high_duty_ratio" in self.contributors:
-            rows = rows.withColumn("q_high_duty_ratio", duty_ratio(micros(self.features.duty), self.by))
-        return rows.drop("run_id", *(f"__{r}" for r in RELATIVE))
+            df = df.withColumn("q_high_duty_ratio", duty_ratio(micros(self.features.duty), by))
+        wanted = {f"__{r}": RUN_FACTS[r] for r in RELATIVE if r in self.contributors}
+        if not wanted:  # needs no runs
+            return df
+        rows = with_last_runs(df, self.features.decay_channel, wanted, micros(self.features.gap), by)
+        lag = micros(self.rules.lag) if self.rules.mode == "lagged" else None
+        rows = baselines(rows, {c: f"q{c[1:]}" for c in wanted}, micros(self.rules.baseline), lag, by)
+        return rows.drop("run_id", *wanted, *(f"{c}_gap" for c in wanted))
 
     def fit(self, train: DataFrame) -> RuleModel:
-        self.train = self.quantities(train).select(*self.train_keys, *(f"q_{r}" for r in self.contributors))
+        """train: rows with the train keys, us, regime and the decay channel. Other parts of the series key may be absent."""
+        missing = [F.lit(None).alias(c) for c in self.by if c not in train.columns]
+        self.train = train.select(*(c for c in self.by if c in train.columns), *missing, "us", "regime", self.features.decay_channel)
         return self
 
     def contributions(self, rows: DataFrame) -> DataFrame:
         """Adds a severity in [0, 1] per rule: 0 up to the median of training, 1 at its extreme; missing reads 0, or NULL
-        in the warm-up of a lagged baseline."""
+        in the warm-up of a lagged baseline. Training rows go through the same pass as the others, as series of their own."""
         if self.train is None:
             raise ValueError("the model is not fitted")
-        rows = self.quantities(rows)
+        by = [*self.by, "__train"]
+        both = rows.withColumn("__train", F.lit(False)).unionByName(self.train.withColumn("__train", F.lit(True)), allowMissingColumns=True)
+        both = self.quantities(both, by)
         warm = micros(self.rules.baseline) + micros(self.rules.lag) if self.rules.mode == "lagged" else 0
-        rows = rows.withColumn("__age", F.col("us") - F.min("us").over(Window.partitionBy(*self.by)))
+        both = both.withColumn("__age", F.col("us") - F.min("us").over(Window.partitionBy(*by)))
+        both = percentile_ranks(both, "__train", {f"q_{r}": f"__rank_{r}" for r in self.contributors}, self.train_keys)
+        severities = {}
         for r in self.contributors:
-            rows = percentile_rank(self.train, rows, f"q_{r}", "__rank", self.train_keys)
-            ramp = 1 - 2 * F.col("__rank") if RULES[r] == "low" else 2 * F.col("__rank") - 1
+            rank = F.col(f"__rank_{r}")
+            ramp = 1 - 2 * rank if RULES[r] == "low" else 2 * rank - 1
             missing = F.when(F.col("__age") >= warm, F.lit(0.0)) if r in RELATIVE else F.lit(0.0)
-            rows = rows.withColumn(r, F.when(F.col("__rank").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), ramp))).otherwise(missing)).drop("__rank")
-        return rows.drop("__age")
+            severities[r] = F.when(rank.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), ramp))).otherwise(missing)
+        return both.where("not __train").withColumns(severities).drop("__age", "__train", *(f"__rank_{r}" for r in self.contributors))
+
+    def calibration_quantile(self, rule: str, q: float) -> DataFrame:
+        """(train keys, value): the q-th linear quantile of a rule's quantity in its training distribution."""
+        if self.train is None:
+            raise ValueError("the model is not fitted")
+        if rule not in self.contributors:
+            raise KeyError(rule)
+        return self.quantities(self.train).groupBy(*self.train_keys).agg(F.percentile(f"q_{rule}", F.lit(float(q))).alias("value"))
 
     def score(self, rows: DataFrame) -> DataFrame:
         rows = self.contributions(rows)

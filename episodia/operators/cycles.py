@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FeatureSettings, micros
-from .ordered import BY, last_completed, last_us, ratio, rolling_median, run_table, series, with_runs
+from .ordered import BY, last_completed, last_us, ratio, rolling_medians, run_table, series, so_far, with_last_runs, with_runs
 
 LOADED, OFFLOAD, STOPPED = "LOADED", "OFFLOAD", "STOPPED"
 
@@ -34,8 +34,12 @@ def slopes(df: DataFrame, channel: str, gap_us: int | None, by: Sequence[str] =
 
 def running(df: DataFrame, wanted: str, channel: str, min_samples: int, gap_us: int | None, by: Sequence[str] = BY) -> DataFrame:
     """Adds running_elapsed_s and running_slope (expanding within the run) for rows whose label is `wanted`."""
+    return _running(with_runs(df, "regime", gap_us, by), wanted, channel, min_samples, by)
+
+
+def _running(rows: DataFrame, wanted: str, channel: str, min_samples: int, by: Sequence[str]) -> DataFrame:
     inside = Window.partitionBy(*by, "run_id").orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
-    rows = with_runs(df, "regime", gap_us, by).withColumn("__x", (F.col("us") - F.first("us").over(inside)) / 1e6)
+    rows = rows.withColumn("__x", (F.col("us") - F.first("us").over(inside)) / 1e6)
     mine = F.col("regime") == wanted
     n = F.count(channel).over(inside)
     slope = F.regr_slope(channel, "__x").over(inside)
@@ -60,34 +64,49 @@ def duty_ratio(width_us: int, by: Sequence[str] = BY, wanted: str = LOADED) -> C
 
 def baseline_trailing(df: DataFrame, column: str, width_us: int, out: str, by: Sequence[str] = BY) -> DataFrame:
     """Adds value / median over (t - width, t]."""
-    return rolling_median(df, column, width_us, "__base", by).withColumn(out, ratio(column, "__base")).drop("__base")
+    return baselines(df, {column: out}, width_us, None, by)
 
 
 def baseline_lagged(df: DataFrame, column: str, width_us: int, lag_us: int, out: str, by: Sequence[str] = BY) -> DataFrame:
     """Adds value / the trailing median as it stood at the last row no later than `lag` before. A median counts once the
     series is a full width old, so the first width + lag are NULL."""
-    df = rolling_median(df, column, width_us, "__base", by)
-    first = F.min("us").over(Window.partitionBy(*by))
-    df = df.withColumn("__first", first).withColumn("__base", F.when(F.col("us") - F.col("__first") >= width_us, F.col("__base")))
-    then = F.last(F.struct("__base")).over(series(by).rangeBetween(Window.unboundedPreceding, -lag_us))
-    return df.withColumn("__then", then["__base"]).withColumn(out, ratio(column, "__then")).drop("__base", "__first", "__then")
+    return baselines(df, {column: out}, width_us, lag_us, by)
+
+
+def baselines(df: DataFrame, columns: dict[str, str], width_us: int, lag_us: int | None, by: Sequence[str] = BY) -> DataFrame:
+    """baseline_trailing() (without a lag) or baseline_lagged() of several columns, with one pass for all medians."""
+    bases = {c: f"__base_{k}" for k, c in enumerate(columns)}
+    df = rolling_medians(df, bases, width_us, by)
+    if lag_us is not None:
+        df = df.withColumn("__first", F.min("us").over(Window.partitionBy(*by)))
+        kept = F.struct(*(F.when(F.col("us") - F.col("__first") >= width_us, F.col(b)).alias(b) for b in bases.values()))
+        df = df.withColumn("__then", F.last(kept).over(series(by).rangeBetween(Window.unboundedPreceding, -lag_us)))
+        df = df.withColumns({b: F.col("__then")[b] for b in bases.values()}).drop("__first", "__then")
+    return df.withColumns({out: ratio(c, bases[c]) for c, out in columns.items()}).drop(*bases.values())
 
 
 def cycle_features(df: DataFrame, s: FeatureSettings, by: Sequence[str] = BY) -> DataFrame:
     """Adds the twelve cycle features to rows (by, us, regime, decay channel)."""
     gap = micros(s.gap)
-    runs = slopes(df, s.decay_channel, gap, by)
-    for name, label in (("stopped", STOPPED), ("offload", OFFLOAD), ("loaded", LOADED)):
-        runs = last_completed(runs, "regime", label, F.col("duration_s"), f"{name}_duration_last", by)
-    runs = last_completed(runs, "regime", STOPPED, F.col("slope"), "decay_rate_last", by, void_if_truncated=False)
-    runs = cycle_period(runs, STOPPED, by).withColumnRenamed("cycle_period_s", "cycle_period_last").withColumnRenamed("stopped_duration_last_gap", "run_gap_truncated")
-    kept = ["stopped_duration_last", "offload_duration_last", "loaded_duration_last", "run_gap_truncated", "cycle_period_last", "decay_rate_last"]
-    rows = running(df, STOPPED, s.decay_channel, s.min_samples, gap, by).join(runs.select(*by, "run_id", *kept), [*by, "run_id"])
+    wanted = {f"{name}_duration_last": (label, "duration_s", True) for name, label in (("stopped", STOPPED), ("offload", OFFLOAD), ("loaded", LOADED))}
+    rows = with_last_runs(df, s.decay_channel, wanted | {"decay_rate_last": (STOPPED, "slope", False)}, gap, by)
+    rows = rows.withColumnRenamed("stopped_duration_last_gap", "run_gap_truncated").drop("offload_duration_last_gap", "loaded_duration_last_gap", "decay_rate_last_gap")
+    rows = _row_periods(_running(rows, STOPPED, s.decay_channel, s.min_samples, by), STOPPED, gap, by)
     rows = rows.withColumnRenamed("running_elapsed_s", "stopped_elapsed").withColumnRenamed("running_slope", "decay_rate_running")
     rows = rows.withColumn("duty_ratio_trailing", duty_ratio(micros(s.duty), by))
-    for c in ("stopped_duration_last", "cycle_period_last", "decay_rate_last"):
-        rows = baseline_trailing(rows, c, micros(s.baseline), f"{c}_rel_baseline", by)
-    return rows
+    return baselines(rows, {c: f"{c}_rel_baseline" for c in ("stopped_duration_last", "cycle_period_last", "decay_rate_last")}, micros(s.baseline), None, by)
+
+
+def _row_periods(rows: DataFrame, wanted: str, gap_us: int, by: Sequence[str]) -> DataFrame:
+    """Adds cycle_period_last, cycle_period() on rows with run_id: a genuine run starts at its first row."""
+    w = series(by)
+    before, label, t = F.lag("run_id").over(w), F.lag("regime").over(w), F.lag("us").over(w)
+    first = F.coalesce(before != F.col("run_id"), F.lit(True))
+    carried_on = F.coalesce((F.col("us") - t > gap_us) & (label == F.col("regime")), F.lit(False))
+    rows = rows.withColumn("__start", F.when(first & (F.col("regime") == wanted) & ~carried_on, F.col("us")))
+    earlier = F.last("__start", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("__period", F.when(F.col("__start").isNotNull(), (F.col("us") - earlier) / 1e6))
+    return rows.withColumn("cycle_period_last", F.last("__period", True).over(so_far(by))).drop("__start", "__period")
 
 
 def last_peak(df: DataFrame, channel: str, wanted: str, gap_us: int | None, by: Sequence[str] = BY) -> DataFrame:

@@ -11,6 +11,7 @@ from ..config import EvaluationSettings, Event, SplitSettings, micros
 from ..schema import US_PER_DAY
 from .folds import HOUR, at, masked_regions
 from .intervals import clip, overlaps, total_us
+from .ordered import coming
 
 EARLY, CONCURRENT, MASKED, FALSE_ALARM = "early_warning", "concurrent", "masked", "false_alarm"
 
@@ -33,8 +34,7 @@ def flag_episodes(scores: DataFrame, threshold: Column, hold_us: int, gap_us: in
     df = df.withColumn("__new", F.when(F.col("__above") & new, 1).otherwise(0))
     df = df.withColumn("__id", F.when(F.col("__above"), F.sum("__new").over(up_to)))
     begun = F.last("__id", True).over(up_to)
-    ending = F.first("__id", True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    df = df.withColumn("__begun", begun).withColumn("__ending", ending)
+    df = df.withColumn("__begun", begun).withColumn("__ending", coming("__id", by))
     df = df.withColumn("episode", F.when(F.col("__begun") == F.col("__ending"), F.col("__begun")))
     return df.drop("__above", "__cut", "__segment", "__last", "__before", "__new", "__id", "__begun", "__ending")
 
@@ -86,7 +86,7 @@ def evaluated_days(scores: DataFrame, periods: DataFrame, masks: DataFrame, gap_
     holes = scores.select(*by, F.lag("us").over(w).alias("start_us"), F.col("us").alias("end_us")).where(F.col("end_us") - F.col("start_us") > gap_us)
     m = periods.crossJoin(F.broadcast(masks.select("start_us", "end_us")))  # periods x configured regions
     m = clip(m, F.col("lo"), F.col("hi")).select(*by, "start_us", "end_us")
-    h = clip(holes.join(F.broadcast(periods), [*by]), F.col("lo"), F.col("hi")).select(*by, "start_us", "end_us")
+    h = clip(holes.join(periods, [*by]), F.col("lo"), F.col("hi")).select(*by, "start_us", "end_us")
     gone = total_us(m.unionByName(h), by)
     left = F.col("hi") - F.col("lo") - F.coalesce("total_us", F.lit(0))
     return periods.join(gone, [*by], "left").select(*by, (F.greatest(left, F.lit(0)) / US_PER_DAY).alias("days"))

@@ -59,4 +59,4 @@ def smoothed_durations(df: DataFrame, wanted: str, gap_us: int, runs: int = 20,
 def max_against_train(train: DataFrame, test: DataFrame, score: str, keys: Sequence[str]) -> DataFrame:
     """Per key: the largest test score and the percentage of training scores below it."""
     top = test.groupBy(*keys).agg(F.max(score).alias("top"))
-    return train.join(F.broadcast(top), [*keys]).groupBy(*keys).agg(F.first("top").alias("top"), (F.avg((F.col(score) < F.col("top")).cast("double")) * 100).alias("percent_below"))
+    return train.join(top, [*keys]).groupBy(*keys).agg(F.first("top").alias("top"), (F.avg((F.col(score) < F.col("top")).cast("double")) * 100).alias("percent_below"))

@@ -26,6 +26,11 @@ def so_far(by: Sequence[str] = BY) -> WindowSpec:
     return series(by).rowsBetween(Window.unboundedPreceding, 0)
 
 
+def coming(column: str, by: Sequence[str] = BY) -> Column:
+    """The first value at or after a row: a fill over the reversed order, as Spark's frames that end at the last row are quadratic."""
+    return F.last(column, True).over(Window.partitionBy(*by).orderBy(F.desc("us")).rowsBetween(Window.unboundedPreceding, 0))
+
+
 def last_us(width_us: int, by: Sequence[str] = BY) -> WindowSpec:
     """The left-open time frame (t - width, t]."""
     return series(by).rangeBetween(-(width_us - 1), 0)
@@ -75,30 +80,59 @@ def last_completed(runs: DataFrame, label: str, wanted: str, value: Column, out:
     return runs.withColumn("__found", found).withColumn(out, F.col("__found.v")).withColumn(f"{out}_gap", F.coalesce("__found.g", F.lit(False))).drop("__found")
 
 
+def with_last_runs(df: DataFrame, channel: str, wanted: dict[str, tuple[str, str, bool]], gap_us: int, by: Sequence[str] = BY) -> DataFrame:
+    """last_completed() on rows, without a run table or a join: adds run_id and, for each out: (label, fact, void_if_truncated),
+    `out` and `<out>_gap`. fact: duration_s, slope, abs_slope or peak (maximum) of the channel over the run.
+
+    A run's facts are known at all its rows; the next run's first row takes them over and they are filled on from there."""
+    w = series(by)
+    rows = with_runs(df, "regime", gap_us, by).withColumn("__cut", F.coalesce(F.lead("us").over(w) - F.col("us") > gap_us, F.lit(False)))
+    run = Window.partitionBy(*by, "run_id").orderBy("us").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("__x", (F.col("us") - F.first("us").over(run)) / 1e6)
+    slope = F.regr_slope(channel, "__x").over(run)
+    rows = rows.withColumns({"__duration_s": F.max("__x").over(run), "__slope": slope, "__peak": F.max(channel).over(run), "__cut": F.max("__cut").over(run)})
+    facts = F.struct("run_id", "regime", F.col("__cut").alias("cut"), F.col("__duration_s").alias("duration_s"), F.col("__slope").alias("slope"), F.abs("__slope").alias("abs_slope"), F.col("__peak").alias("peak"))
+    rows = rows.withColumn("__before", F.lag(facts).over(w)).drop("__x", "__duration_s", "__slope", "__peak", "__cut")
+    first = F.col("__before.run_id") != F.col("run_id")
+    found = {}
+    for out, (label, fact, void) in wanted.items():
+        value = F.col(f"__before.{fact}").cast("double")
+        got = F.struct((F.when(~F.col("__before.cut"), value) if void else value).alias("v"), F.col("__before.cut").alias("g"))
+        found[f"__{out}"] = F.last(F.when(first & (F.col("__before.regime") == label), got), True).over(so_far(by))
+    rows = rows.withColumns(found)
+    rows = rows.withColumns({out: F.col(f"__{out}.v") for out in wanted} | {f"{out}_gap": F.coalesce(F.col(f"__{out}.g"), F.lit(False)) for out in wanted})
+    return rows.drop("__before", *found)
+
+
 def as_of(column: str, lag_us: int, by: Sequence[str] = BY) -> Column:
     """The value at the last row no later than lag_us before; its NULL is kept."""
     return F.last(column).over(series(by).rangeBetween(Window.unboundedPreceding, -lag_us))
 
 
 def rolling_median(df: DataFrame, column: str, width_us: int, out: str, by: Sequence[str] = BY, chunk_us: int | None = None) -> DataFrame:
-    """Adds the median over (t - width, t], NULLs skipped. Every series is cut into time chunks that carry a halo of
-    `width`, so one long series is still worked on by many tasks and each row goes to at most a few of them."""
+    return rolling_medians(df, {column: out}, width_us, by, chunk_us)
+
+
+def rolling_medians(df: DataFrame, columns: dict[str, str], width_us: int, by: Sequence[str] = BY, chunk_us: int | None = None) -> DataFrame:
+    """Adds, for each column: out, the median over (t - width, t], NULLs skipped. Every series is cut into time chunks that
+    carry a halo of `width`, so one long series is still worked on by many tasks and each row goes to at most a few of them."""
     chunk_us = chunk_us or 4 * width_us
     own = F.floor(F.col("us") / chunk_us)
     reach = F.floor((F.col("us") + (width_us - 1)) / chunk_us)
     sent = df.withColumn("__own", own).withColumn("__chunk", F.explode(F.sequence(own, reach)))
-    schema = with_fields(df, out)
+    schema = with_fields(df, *columns.values())
     names = df.columns
 
     def roll(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("us", kind="stable").reset_index(drop=True)
-        value = pd.Series(part[column].to_numpy(dtype="float64"), index=pd.to_datetime(part["us"].to_numpy(), unit="us"))
-        part[out] = value.rolling(pd.Timedelta(width_us, unit="us"), min_periods=1).median().to_numpy()
-        part.loc[part[out].isna(), out] = None
-        return part.loc[part["__own"] == part["__chunk"], [*names, out]]
+        index = pd.to_datetime(part["us"].to_numpy(), unit="us")
+        for column, out in columns.items():
+            value = pd.Series(part[column].to_numpy(dtype="float64"), index=index)
+            part[out] = value.rolling(pd.Timedelta(width_us, unit="us"), min_periods=1).median().to_numpy()
+        return part.loc[part["__own"] == part["__chunk"], [*names, *columns.values()]]
 
     rolled = sent.groupBy(*by, "__chunk").applyInPandas(roll, schema)
-    return rolled.withColumn(out, F.when(~F.isnan(out), F.col(out)))
+    return rolled.withColumns({out: F.when(~F.isnan(out), F.col(out)) for out in columns.values()})
 
 
 def ratio(value: str | Column, base: str | Column) -> Column:

@@ -30,11 +30,26 @@ def percentile_rank(train: DataFrame, rows: DataFrame, value: str, out: str, key
     return rows.join(ranks, [*named, value], "left")
 
 
+def percentile_ranks(df: DataFrame, in_train: str, values: dict[str, str], keys: Sequence[str]) -> DataFrame:
+    """percentile_rank() of several values at once, where one frame holds training and other rows (in_train: true or false):
+    adds value: out for each to all rows. A value costs a sort within the keys; nothing is joined."""
+    for value, out in values.items():
+        t = F.when(F.col(value).isNotNull(), F.col(in_train).cast("long")).otherwise(F.lit(0))
+        among = Window.partitionBy(*keys).orderBy(value)
+        upto = F.sum(t).over(among.rangeBetween(Window.unboundedPreceding, 0))
+        equal = F.sum(t).over(among.rangeBetween(0, 0))
+        n = F.sum(t).over(Window.partitionBy(*keys))
+        df = df.withColumns({"__upto": upto, "__equal": equal, "__n": n})
+        share = F.when(F.col("__n") == 0, F.lit(0.5)).otherwise((2 * F.col("__upto") - F.col("__equal")) / (2.0 * F.col("__n")))
+        df = df.withColumn(out, F.when(F.col(value).isNotNull(), share)).drop("__upto", "__equal", "__n")
+    return df
+
+
 def score_shift(train: DataFrame, test: DataFrame, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """Median, 99th percentile and maximum of both score sets, and the share of test scores above the training p99."""
     stats = lambda df, p: df.groupBy(*keys).agg(F.percentile(score, F.array(F.lit(0.5), F.lit(0.99))).alias(f"{p}_q"), F.max(score).alias(f"{p}_max"))
     tr = stats(train, "train")
-    joined = test.join(F.broadcast(tr), [*keys]) if keys else test.crossJoin(F.broadcast(tr))
+    joined = test.join(tr, [*keys]) if keys else test.crossJoin(F.broadcast(tr))
     above = joined.groupBy(*keys).agg(F.avg((F.col(score) > F.col("train_q")[1]).cast("double")).alias("share_above_p99"))
     te = stats(test, "test")
     out = tr.join(te, [*keys], "left").join(above, [*keys], "left") if keys else tr.crossJoin(te).crossJoin(above)

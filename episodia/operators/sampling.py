@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import WindowSettings, micros
-from .ordered import BY, series
+from .ordered import BY, coming, series
 
 
 def intervals(df: DataFrame, by: Sequence[str] = BY) -> DataFrame:
@@ -33,15 +33,15 @@ def gaps(df: DataFrame, gap_us: int, by: Sequence[str] = BY) -> DataFrame:
 
 
 def near_gap(df: DataFrame, gap_us: int, near_us: int, by: Sequence[str] = BY, keep: Sequence[str] = ()) -> DataFrame:
-    """Adds gap_adjacent: within near_us (closed) of either edge of a gap. Two fills over the same order, no join."""
+    """Adds gap_adjacent: within near_us (closed) of either edge of a gap. Two fills, no join."""
     w = series(by)
     before, after = F.lag("us").over(w), F.lead("us").over(w)
     at_edge = (F.col("us") - before > gap_us) | (after - F.col("us") > gap_us)
     df = df.withColumn("__edge", F.when(F.coalesce(at_edge, F.lit(False)), F.col("us")))
     past = F.last("__edge", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    coming = F.first("__edge", True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    close = F.coalesce(F.col("us") - past <= near_us, F.lit(False)) | F.coalesce(coming - F.col("us") <= near_us, F.lit(False))
-    return df.withColumn("gap_adjacent", close).drop("__edge")
+    df = df.withColumn("__past", past).withColumn("__next", coming("__edge", by))
+    close = F.coalesce(F.col("us") - F.col("__past") <= near_us, F.lit(False)) | F.coalesce(F.col("__next") - F.col("us") <= near_us, F.lit(False))
+    return df.withColumn("gap_adjacent", close).drop("__edge", "__past", "__next")
 
 
 def resample(df: DataFrame, step_us: int, means: Sequence[str], maxima: Sequence[str], by: Sequence[str] = BY) -> DataFrame:

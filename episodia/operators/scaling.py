@@ -58,7 +58,7 @@ def transform(df: DataFrame, scaler: DataFrame, channels: Sequence[str], passthr
     if missing := [c for c in channels if c not in known]:
         raise ValueError(f"no scaler for {missing}")
     wide = scaler.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("channel", F.struct("center", "scale")))).alias("__s"))
-    joined = df.join(F.broadcast(wide), [*keys]) if keys else df.crossJoin(F.broadcast(wide))  # one row
+    joined = df.join(wide, [*keys]) if keys else df.crossJoin(F.broadcast(wide))  # one row
     scaled: list[Column] = [((F.col(c) - F.col("__s")[c]["center"]) / F.col("__s")[c]["scale"]).alias(c) if c in channels else F.col(c) for c in df.columns]
     return joined.select(*scaled)
 
@@ -66,7 +66,7 @@ def transform(df: DataFrame, scaler: DataFrame, channels: Sequence[str], passthr
 def transform_by_regime(df: DataFrame, scaler: DataFrame, s: ScalingSettings, keys: Sequence[str] = ()) -> DataFrame:
     """Each row by its own regime's scaler; an inactive channel becomes 0. Raises for a regime without scaler."""
     wide = scaler.groupBy(*keys, "regime").agg(F.map_from_entries(F.collect_list(F.struct("channel", F.struct("center", "scale")))).alias("__s"))
-    joined = df.join(F.broadcast(wide), [*keys, "regime"], "left")
+    joined = df.join(wide, [*keys, "regime"], "left")
     joined = joined.withColumn("__s", F.coalesce("__s", F.raise_error(F.concat(F.lit("no scaler for regime "), "regime")).cast("map<string,struct<center:double,scale:double>>")))
     out: list[Column] = []
     for c in df.columns:

@@ -298,7 +298,7 @@ def score_shift(spark, d):
 def median_imputation(spark, d):
     t = telemetry(spark, d).withColumn("x", F.when(F.col("is_view") == 0, F.col("value")))
     m = t.groupBy("asset_id").agg(F.percentile("x", F.lit(0.5)).alias("m"))
-    return rounded(t.join(F.broadcast(m), "asset_id").select("asset_id", "us", F.coalesce("x", "m").alias("x")))
+    return rounded(t.join(m, "asset_id").select("asset_id", "us", F.coalesce("x", "m").alias("x")))
 
 
 def rule_model() -> RuleModel:

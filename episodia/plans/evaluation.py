@@ -53,7 +53,7 @@ def at_widths(p: Plan, scores: DataFrame, train_scores: DataFrame, quantiles: Se
     hold, gap, least = episodes.episode_settings(v)
     keys = [*FOLD, "quantile"]
     cuts = rank.thresholds(train_scores, "score", quantiles, FOLD)
-    rows = scores.join(F.broadcast(cuts), FOLD)  # folds x assets x quantiles
+    rows = scores.join(cuts, FOLD)
     eps = episodes.episodes(episodes.flag_episodes(rows, F.col("threshold"), hold, gap, keys), keys, least)
     folded = folds.fold_table(spark, p.extended)
     own = folded.select("event_id", "width_h") if widths is None else folded.select("event_id").crossJoin(F.broadcast(spark.createDataFrame([(float(w),) for w in widths], "width_h double")))
@@ -76,7 +76,7 @@ def pooled(p: Plan, scores: DataFrame, train_scores: DataFrame, quantiles: Seque
     hold, gap, least = episodes.episode_settings(p.settings.evaluation)
     keys = [*SCOPE, "quantile"]
     cuts = rank.thresholds(train_scores, "score", quantiles, FOLD)
-    rows = scores.join(F.broadcast(cuts), FOLD)
+    rows = scores.join(cuts, FOLD)
     eps = episodes.episodes(episodes.flag_episodes(rows, F.col("threshold"), hold, gap, keys), keys, least)
     scopes = train_scores.select(*FOLD).distinct().crossJoin(F.broadcast(p.stretches.select("scope_id", F.col("start_us").alias("lo"), F.col("end_us").alias("hi"))))
     none = p.rows.sparkSession.createDataFrame([], "start_us long, end_us long")
@@ -105,8 +105,7 @@ def run_rules(p: Plan, quantiles: Sequence[float] | None = None) -> dict[str, Da
     train, history, normal = _scopes(p)
     columns = [*FOLD, "us", "regime", s.features.decay_channel]
     m = RuleModel(s.features, s.rules, FOLD, FOLD).fit(train.select(*columns))
-    wide = RuleModel(s.features, s.rules, SCOPE, FOLD)
-    wide.train = m.train
+    wide = RuleModel(s.features, s.rules, SCOPE, FOLD).fit(train.select(*columns))
     train_scores = m.score(train.select(*columns))
     return _results(p, in_test(p, m.score(history.select(*columns))), train_scores, wide.score(normal.select("scope_id", *columns)), quantiles)
 

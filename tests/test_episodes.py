@@ -1,11 +1,12 @@
+import time
 from datetime import datetime
 
 import pytest
-from helpers import MIN, T0, micro
+from helpers import MIN, T0, frame, micro
 from pyspark.sql import functions as F
 
 from episodia.config import Event, SplitSettings
-from episodia.operators import chance, episodes, folds, rank
+from episodia.operators import chance, episodes, folds, rank, sampling
 
 BY = ["asset_id"]
 
@@ -127,3 +128,13 @@ def test_score_shift(spark):
 
 def test_folds_at():
     assert folds.at(datetime(1970, 1, 1, 0, 0, 1)) == 1_000_000
+
+
+def test_fills_towards_later_rows_are_not_quadratic(spark):
+    rows = [(i, 1.0 if i % 20_000 == 0 else 0.0) for i in range(60_000)]
+    df = frame(spark, rows, "score double")
+    began = time.time()
+    flags = episodes.flag_episodes(df, F.lit(0.5), 40_000 * 1_000_000, 10 * 1_000_000, ["asset_id"])
+    assert flags.where("episode is not null").count() == 40_001
+    assert sampling.near_gap(df, 2_000_000, 1_000_000).where("gap_adjacent").count() == 0
+    assert time.time() - began < 30

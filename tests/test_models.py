@@ -79,6 +79,25 @@ def test_rules(spark):
         RuleModel(f, RuleSettings(enabled=("other",)))
 
 
+def test_rule_plan_is_linear(spark):
+    f = FeatureSettings(decay_channel="value", gap="5min", duty="10min")
+    m = RuleModel(f, RuleSettings(baseline="3h"), ["asset_id"], ["asset_id"]).fit(rule_frame(spark, 3))
+    text = m.score(rule_frame(spark, 3))._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FlatMapGroupsInPandas") == 1 and text.count("Scan ExistingRDD") == 2 and text.count("Join") == 0
+
+
+def test_calibration_quantile(spark):
+    f = FeatureSettings(decay_channel="value", gap="5min", duty="10min")
+    m = RuleModel(f, RuleSettings(baseline="3h"), ["asset_id"], ["asset_id"])
+    with pytest.raises(ValueError):
+        m.calibration_quantile("high_duty_ratio", 0.5)
+    m.fit(rule_frame(spark, 20))
+    got = [m.calibration_quantile("high_duty_ratio", q).first()["value"] for q in (0.0, 0.5, 1.0)]
+    assert got[0] == 0.0 and got[0] <= got[1] <= got[2] <= 1.0
+    with pytest.raises(KeyError):
+        m.calibration_quantile("other", 0.5)
+
+
 def test_lagged_warm_up_is_unknown(spark):
     f = FeatureSettings(decay_channel="value", gap="5min", duty="10min")
     m = RuleModel(f, RuleSettings(baseline="1h", mode="lagged", lag="2h", enabled=("short_stopped_duration", "high_duty_ratio")), ["asset_id"])

@@ -10,7 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Arrow batches to and from Python workers are bounded by bytes.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,14 +43,15 @@ def settled(df: DataFrame) -> DataFrame:
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, options: dict | None = None) -> DataFrame:
     """df, written as Parquet into the shared folder and read again (columnar, so small). Its shuffle files go at once."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEAN_SHUFFLES, None)
     spark.conf.set(CLEAN_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**(options or {})).parquet(path)
     finally:
         spark.conf.unset(CLEAN_SHUFFLES) if before is None else spark.conf.set(CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)

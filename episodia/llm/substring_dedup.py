@@ -40,7 +40,7 @@ def word_hashes(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndar
     """Hashes of the words, the word offsets of the texts, and the byte offsets."""
     data, at = tk.buffers(batch.column(column))
     starts, ends, first = tk.words(data, at, tk.SPACE_WORDS)
-    return tk.byte_hash(tk.byte_sums(data), starts, ends), first, at
+    return tk.string_hash(data, tk.byte_sums(data), starts, ends), first, at
 
 
 def probe_blobs(docs: DataFrame, buckets: int) -> DataFrame:

@@ -10,9 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
-SLICE_BYTES = 2_000_000
+#: Arrow's own pools keep what was freed; a worker that is used again shall not.
+pa.set_memory_pool(pa.system_memory_pool())
+SLICE_BYTES = 1_000_000
 
 #: `[^\x20\x09-\x0D]`: every byte but ASCII white space.
 SPACE_WORDS = np.ones(256, dtype=bool)
@@ -27,10 +30,15 @@ LOWER[0x41:0x5B] += 32
 _BYTE_VALUE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: So many powers at most stay in a worker; a longer text makes its own and lets them go.
+KEPT_POWERS = 1 << 20
+#: Strings from this many bytes on get an XXH3 hash instead: modulo 2**64, a polynomial of any odd base is equal for
+#: certain pairs of long strings (Thue-Morse strings of 1,024 symbols).
+LONG_BYTES = 64
 
 
 def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
-    """base**k and base**-k modulo 2**64 for k < n (kept per worker, grown when a longer text comes)."""
+    """base**k and base**-k modulo 2**64 for k < n."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
         size, out = max(n, 1 << 16), []
@@ -39,7 +47,9 @@ def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
             while len(table) < size:
                 table = np.concatenate([table, table * U64(pow(b, len(table), 1 << 64))])
             out.append(table[:size].copy())
-        have = _POWERS[base] = (out[0], out[1])
+        have = (out[0], out[1])
+        if size <= KEPT_POWERS:
+            _POWERS[base] = have
     return have
 
 
@@ -72,8 +82,18 @@ def byte_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return span_hash(sums, starts, ends, _BASE)
 
 
+def string_hash(data: np.ndarray, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit keys of the strings data[starts:ends], without the polynomial's equal pairs. sums: byte_sums(data)."""
+    out = byte_hash(sums, starts, ends)
+    long = np.flatnonzero(ends - starts >= LONG_BYTES)
+    if len(long):
+        body = np.ascontiguousarray(data).data
+        out[long] = [xxhash.xxh3_64_intdigest(body[i:j]) for i, j in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return out
+
+
 def word_window_hash(hashes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of `length` consecutive words from each word index in starts."""
+    """Hashes of `length` (a few tens at most) consecutive words from each word index in starts."""
     sums = prefix(hashes, _WORD_BASE)
     return span_hash(sums, starts, starts + length, _WORD_BASE)
 

@@ -28,7 +28,7 @@ def base_counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
         "n_symbols": tk.per_text(SYMBOLS[data], at),
     }
     out["n_dup_lines"], out["n_lines"] = _duplicate_lines(data, at, starts, sums)
-    hashes = tk.byte_hash(sums, starts, ends)
+    hashes = tk.string_hash(data, sums, starts, ends)
     begin = tk.window_starts(first, REPEAT_WINDOW)
     text = tk.owner(first)
     keys = tk.mix(tk.word_window_hash(hashes, begin, REPEAT_WINDOW) + text[begin].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -53,7 +53,7 @@ def _duplicate_lines(data, at, word_starts, sums) -> tuple[np.ndarray, np.ndarra
     filled = np.searchsorted(word_starts, ends) > np.searchsorted(word_starts, starts)
     starts, ends = starts[filled], ends[filled]
     text = np.searchsorted(at, starts, side="right") - 1
-    keys = tk.mix(tk.byte_hash(sums, starts, ends) + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    keys = tk.mix(tk.string_hash(data, sums, starts, ends) + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     _, seen = np.unique(keys, return_index=True)
     lines = np.bincount(text, minlength=n)
     return lines - np.bincount(text[seen], minlength=n), lines

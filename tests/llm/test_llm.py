@@ -260,11 +260,37 @@ def test_decontamination_edges(spark):
 def test_proximity(spark):
     df = table(spark, ["x a y b z", "a 1 2 3 4 5 b", "b a"])
     terms = [b"a", b"b"]
-    index = decontaminate.positional_index(df, np.sort(decontaminate.term_keys(terms)))
+    index = decontaminate.positional_index(df)
     got = sorted(r["doc_id"] for r in decontaminate.proximity_matches(index, terms, 3).collect())
     assert got == [0, 2]
 
 
+def thue_morse(n, a="a", b="b"):
+    """Two different strings of 2**n symbols whose polynomial hashes modulo 2**64 are equal for every odd base."""
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_strings_that_collide_modulo_a_power_of_two(spark):
+    for n in (9, 10, 11, 12):
+        x, y = thue_morse(n)
+        data, at = textkit.buffers(pa.array([x, y]))
+        if n >= 11:
+            sums = textkit.byte_sums(data)
+            assert len(set(textkit.byte_hash(sums, at[:-1], at[1:]).tolist())) == 1
+        assert len(set(textkit.string_hash(data, textkit.byte_sums(data), at[:-1], at[1:]).tolist())) == 2
+    rng = random.Random(21)
+    twenty = prose(rng, 19)
+    texts = [f"{x} {twenty}", f"{y} {twenty}", f"{x}\n{y}\n", f"{x} {twenty} {x} {twenty} {y}"]
+    assert [r["n_removed"] for r in sorted(substring_dedup.deduplicated(table(spark, texts)).collect(), key=lambda r: r["doc_id"])] == [r[2] for r in substring_dedup.brute(list(enumerate(texts)))] == [0, 0, 0, 40]
+    counts = textstats.base_counts(*textkit.buffers(pa.array(texts)))
+    assert list(zip(*(counts[c].tolist() for c in quality_rules.COUNTS))) == [brute_counts(t) for t in texts]
+    items = [("x", f"{x} {twenty}")]
+    got = sorted(decontaminate.contamination(table(spark, texts), spark.createDataFrame(items, "item_id string, text string")).collect(), key=lambda r: r["doc_id"])
+    assert [(r["n_words"], r["n_hit"], r["items"]) for r in got] == decontaminate.brute_contamination(texts, items)
+
+
 # --- op6 and op4 ------------------------------------------------------------
 
 
@@ -398,7 +424,7 @@ def test_language_tables_hold_every_gram(spark):
     b = ["straße und haus", "die nacht war kühl"]
     train = table(spark, a, 0, "en").unionByName(table(spark, b, 1000, "de"))
     model, texts = language_id.learn(train), [*a[:3], *b, "die straße", "漢字 haus", None]
-    got = {r["doc_id"]: r for r in language_id.entropies(table(spark, texts).select("doc_id", "text"), model).collect()}
+    got = {r["key"]: r for r in language_id.entropies(table(spark, texts).select("doc_id", "text"), model).collect()}
     counts = {}
     for lang, own in (("de", b), ("en", a)):
         counts[lang] = np.unique(language_id.gram_keys(*language_id.letters(*textkit.buffers(pa.array(own)))[:2])[0], return_counts=True)
@@ -519,6 +545,24 @@ def test_shards_reach_the_least_capacity(spark, monkeypatch, seed, hot):
     assert all(len(s) == 1 for s in by_text.values())
 
 
+@pytest.mark.parametrize("hot", [[], [0.25], [0.3, 0.2, 0.001]])
+def test_a_hot_group_opens_few_ranges(spark, monkeypatch, hot):
+    n, seen = 40_000, []
+    plain = sharding.Ordered.open_ranges
+    monkeypatch.setattr(sharding.Ordered, "open_ranges", lambda self, shards: seen.append(plain(self, shards)) or seen[-1])
+    groups = spark.range(n).select(F.md5(F.col("id").cast("string").cast("binary")).alias("key"), (F.col("id") % 300 + 1).alias("bytes"))
+    total = groups.agg(F.sum("bytes")).first()[0]
+    for k, share in enumerate(hot):
+        groups = groups.withColumn("bytes", F.when(F.col("key") == hashlib.md5(str(99 + k).encode()).hexdigest(), int(total * share)).otherwise(F.col("bytes")))
+    cuts = sharding.minimax_cuts(groups.cache())
+    rows = sorted((r["key"], r["bytes"]) for r in groups.collect())
+    totals = Counter()
+    for key, size in rows:
+        totals[sum(key >= c for c in cuts)] += size
+    assert max(totals.values()) == brute_minimax([v for _, v in rows], 8)
+    assert max(map(len, seen)) < 100
+
+
 def test_sharding_edges(spark):
     df = doubled(spark, ["a", None, ""])
     got = sharding.sharded(df).collect()

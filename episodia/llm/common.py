@@ -24,11 +24,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of this machine only where it is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a folder of this machine if Spark runs
+    on this machine alone (tests); on a cluster that is an error, as executors would write where others cannot read."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not got:
-        got = "file://" + os.path.join(tempfile.gettempdir(), f"episodia-{os.getpid()}")
-    return got
+    if got:
+        return got
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), f"episodia-{os.getpid()}")
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+_MARKED: set[str] = set()
+
+
+def scratch(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables; Hadoop deletes it when the driver ends."""
+    path = f"{shared_dir(spark)}/episodia-{spark.sparkContext.applicationId}"
+    if path not in _MARKED:
+        system, where = _file_system(spark, path)
+        system.mkdirs(where)
+        system.deleteOnExit(where)
+        _MARKED.add(path)
+    return path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that nothing will read again."""
+    for path in paths:
+        system, where = _file_system(spark, path)
+        system.delete(where, True)
+
+
+def discard_tables(*tables: DataFrame) -> None:
+    """Delete what written() has written, once nothing that is not computed yet reads it."""
+    for df in tables:
+        discard(df.sparkSession, df.written_path)
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -47,14 +84,16 @@ def written(df: DataFrame, what: str, options: dict | None = None) -> DataFrame:
     """df, written as Parquet into the shared folder and read again (columnar, so small). Its shuffle files go at once."""
     spark = df.sparkSession
     small_batches(spark)
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{what}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEAN_SHUFFLES, None)
     spark.conf.set(CLEAN_SHUFFLES, "true")
     try:
         df.write.options(**(options or {})).parquet(path)
     finally:
         spark.conf.unset(CLEAN_SHUFFLES) if before is None else spark.conf.set(CLEAN_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -70,6 +109,32 @@ def bounded_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < int((1 << 30) * (rows / total)))
 
 
+#: Bits of the bitmap of hashed keys that joins() sends to all tasks: at most 8 MB as rows, however many keys there are.
+BITMAP_BITS = 25
+
+
+def _maybe(docs: DataFrame, key: list[Column], others: DataFrame, other_key: list[Column]) -> DataFrame:
+    """docs with __maybe: false where no row of others can have the same key. Equal keys share a bit; the bits are broadcast."""
+    spot = lambda k: F.pmod(F.xxhash64(*k), F.lit(1 << BITMAP_BITS))
+    bits = others.select(spot(other_key).alias("s")).groupBy(F.shiftright("s", 6).alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 AS int)))").alias("__bits"))
+    marked = docs.withColumn("__spot", spot(key)).withColumn("__word", F.shiftright("__spot", 6)).join(F.broadcast(bits), "__word", "left")
+    found = F.expr("coalesce(shiftrightunsigned(__bits, cast(__spot & 63 AS int)) & 1, 0) = 1")
+    return marked.withColumn("__maybe", found).select(*docs.columns, "__maybe")
+
+
+def semi_joined(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids (doc_id; not null). Only rows that may match are shuffled, not all texts."""
+    return _maybe(docs, [F.col("doc_id")], ids, [F.col("doc_id")]).where("__maybe").drop("__maybe").join(ids, "doc_id", "left_semi")
+
+
+def anti_joined(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows of gone (__id, which may be null, and __hash, of the text). Only rows that may match are shuffled."""
+    marked = _maybe(docs, [F.col("doc_id").cast("long"), F.xxhash64("text")], gone, [F.col("__id"), F.col("__hash")])
+    rest = marked.where("__maybe")
+    rest = rest.join(gone, rest["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(rest["text"]) == gone["__hash"]), "left_anti")
+    return marked.where("not __maybe").unionByName(rest).select(*docs.columns)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
 

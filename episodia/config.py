@@ -129,9 +129,19 @@ class ForestSettings:
 
 @dataclass(frozen=True)
 class ReconstructionSettings:
+    kind: str = "convolutional"  # or "linear"
     bottleneck: int = 8
-    validation: float = 0.15
+    widths: tuple[int, ...] = (32, 16)
+    kernel: int = 5
+    dropout: float = 0.0
+    activation: str = "relu"
+    learning_rate: float = 1e-3
     batch: int = 64
+    epochs: int = 50
+    patience: int = 5
+    validation: float = 0.15
+    minutes: float = 30.0
+    max_windows: int = 20_000
     seed: int = 42
 
 

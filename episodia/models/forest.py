@@ -68,7 +68,7 @@ class IsolationForest:
         s = self.settings
         medians = train.agg(*(F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in self.contributors)).first()
         self.medians = np.array([0.0 if m is None else m for m in medians])
-        rows = train.orderBy(F.xxhash64(F.lit(s.seed), self.key), self.key).limit(s.max_samples * min(s.trees, 64))
+        rows = train.orderBy(F.xxhash64(F.lit(s.seed), self.key), self.key).limit(s.max_samples * s.trees)
         x = self._matrix(rows.select(*(F.col(c).cast("double").alias(c) for c in self.contributors)).toPandas())
         if not len(x):
             raise ValueError("no training rows")

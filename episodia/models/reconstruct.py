@@ -1,7 +1,7 @@
-"""Reconstruction scorer: windows through a linear bottleneck (principal components), error by channel.
+"""Reconstruction scorer: mean squared error of windows over time and channels, and by channel.
 
-It keeps the contract of a convolutional autoencoder (fit on training windows, mean squared error over time and
-channels, contributions by channel, a trailing validation part) without needing a deep-learning library."""
+`Reconstruction` sends windows through a linear bottleneck (principal components), which needs no iterations and sees
+every training window; autoencoder.ConvAutoencoder has the same contract with a convolutional net."""
 
 from __future__ import annotations
 
@@ -35,7 +35,7 @@ def validation_split(df: DataFrame, share: float, by: Sequence[str]) -> DataFram
 class Reconstruction:
     def __init__(self, channels: Sequence[str], length: int, settings: ReconstructionSettings = ReconstructionSettings()):
         self.contributors, self.length, self.settings = list(channels), length, settings
-        self.basis: np.ndarray | None = None
+        self.fitted = False
 
     def fit(self, train: DataFrame) -> Reconstruction:
         """train: rows with w. Only sums of the window's size squared reach the driver."""
@@ -56,7 +56,7 @@ class Reconstruction:
         self.mean = m[d, :d] / m[d, d]
         cov = m[:d, :d] / m[d, d] - np.outer(self.mean, self.mean)
         _, vectors = np.linalg.eigh(cov)
-        self.basis = vectors[:, ::-1][:, : self.settings.bottleneck]
+        self.basis, self.fitted = vectors[:, ::-1][:, : self.settings.bottleneck], True
         return self
 
     def _errors(self, w: pd.Series) -> np.ndarray:
@@ -66,7 +66,7 @@ class Reconstruction:
 
     def contributions(self, rows: DataFrame) -> DataFrame:
         """Adds c_<channel>: the channel's mean squared error over the window."""
-        if self.basis is None:
+        if not self.fitted:
             raise ValueError("the model is not fitted")
         names = [f"c_{c}" for c in self.contributors]
 

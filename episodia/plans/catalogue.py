@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import micros
 from ..functions.rounding import rounded
+from ..models.autoencoder import ConvAutoencoder
 from ..models.forest import IsolationForest
 from ..models.reconstruct import Reconstruction, with_windows
 from ..models.rules import RuleModel
@@ -494,3 +495,10 @@ def reconstruction_scores(spark, d):
     rows = with_windows(telemetry(spark, d), ["value", "is_error"], P.LENGTH, ["asset_id"])
     m = Reconstruction(["value", "is_error"], P.LENGTH, ReconstructionSettings(bottleneck=4))
     return m.fit(rows.where(F.col("us") < folds.at(P.EVENTS[1].start))).score(rows).select("asset_id", "us", "score")
+
+
+@query
+def autoencoder_scores(spark, d):
+    rows = with_windows(telemetry(spark, d), ["value", "is_error"], P.LENGTH, ["asset_id"])
+    m = ConvAutoencoder(["value", "is_error"], P.LENGTH, P.SETTINGS.reconstruction)
+    return m.fit(rows.where(F.col("us") < folds.at(P.EVENTS[1].start))).score(rows).select("asset_id", "us", "score")

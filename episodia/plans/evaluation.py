@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Settings, micros
+from ..config import ReconstructionSettings, Settings, micros
+from ..models.autoencoder import ConvAutoencoder
 from ..models.forest import IsolationForest
 from ..models.reconstruct import Reconstruction, with_windows
 from ..models.rules import RuleModel
@@ -158,6 +159,13 @@ def run_forest(p: Plan, interval_us: int, quantiles: Sequence[float] | None = No
     return _results(p, in_test(p, test), fitted, scored, quantiles)
 
 
+def reconstruction(channels: Sequence[str], length: int, s: ReconstructionSettings) -> Reconstruction:
+    kinds = {"convolutional": ConvAutoencoder, "linear": Reconstruction}
+    if s.kind not in kinds:
+        raise ValueError(f"unknown reconstruction {s.kind!r}")
+    return kinds[s.kind](channels, length, s)
+
+
 def run_reconstruction(p: Plan, interval_us: int) -> dict[str, DataFrame]:
     """Reconstruction scores; the operating quantile is chosen on pooled false alarms alone, then detection is read there.
 
@@ -171,7 +179,7 @@ def run_reconstruction(p: Plan, interval_us: int) -> dict[str, DataFrame]:
     fit_rows, test_rows, normal_rows = make(train, FOLD), make(history, FOLD), make(normal, SCOPE)
     for f in p.folds:
         mine = lambda df, f=f: df.where(F.col("event_id") == f.event_id)
-        m = Reconstruction(channels, length, s.reconstruction).fit(mine(fit_rows))
+        m = reconstruction(channels, length, s.reconstruction).fit(mine(fit_rows))
         parts.append([m.score(mine(df)).drop("w") for df in (test_rows, fit_rows, normal_rows)])
     test, fitted, scored = (_stacked(list(x)).persist() for x in zip(*parts, strict=True))
     rates = pooled(p, scored, fitted, v.quantiles)

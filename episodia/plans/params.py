@@ -32,7 +32,7 @@ def _settings():
     every = ("value",)
     scaling = ScalingSettings(channels=every, passthrough=("is_error", "is_view"), min_samples=10, active={"LOADED": every, "OFFLOAD": every, "STOPPED": every, "TRANSITION": ()})
     windows = WindowSettings(window="2h", stride_train="24min", stride_score="12min", gap="80min")
-    return Settings(SPLIT, EVALUATION, REGIMES, FEATURES, scaling, windows, RULES, ForestSettings(trees=30, max_samples=128), ReconstructionSettings(bottleneck=4))
+    return Settings(SPLIT, EVALUATION, REGIMES, FEATURES, scaling, windows, RULES, ForestSettings(trees=30, max_samples=128), ReconstructionSettings(bottleneck=4, widths=(8, 8), kernel=3, epochs=5))
 
 
 def _us(t):

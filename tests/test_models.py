@@ -3,6 +3,7 @@ import pytest
 from helpers import T0, frame
 
 from episodia.config import FeatureSettings, ForestSettings, ReconstructionSettings, RuleSettings
+from episodia.models import autoencoder, forest
 from episodia.models.forest import IsolationForest
 from episodia.models.reconstruct import Reconstruction, validation_split, with_windows
 from episodia.models.rules import RuleModel
@@ -34,6 +35,20 @@ def test_forest_fills_missing_with_training_medians(spark):
     assert 0 < m.score(frame(spark, [(0, None, None)], "a double, b double")).first()["score"] < 0.6
 
 
+def test_forest_scores_equal_plain_recursion(spark):
+    m = IsolationForest(["a", "b"], ForestSettings(trees=70, max_samples=64)).fit(cloud(spark))
+
+    def depth(tree, x, node=0):
+        feature, threshold, left, value = tree
+        return value[node] if feature[node] < 0 else depth(tree, x, left[node] + int(x[feature[node]] > threshold[node]))
+
+    h = np.log(63) + np.euler_gamma
+    for r in m.score(cloud(spark, 20, [(9.0, 9.0)])).collect():
+        want = 2 ** (-np.mean([depth(t, (r["a"], r["b"])) for t in m.trees]) / (2 * h - 2 * 63 / 64))
+        assert abs(r["score"] - want) < 1e-9
+    assert len(m.trees) == 70 and abs(forest.path_norm(64) - (2 * h - 2 * 63 / 64)) < 1e-12
+
+
 def test_unfitted_raises(spark):
     for m in (IsolationForest(["a"]), Reconstruction(["a"], 3)):
         with pytest.raises(ValueError):
@@ -58,6 +73,65 @@ def test_validation_is_the_tail(spark):
     assert [r["validation"] for r in got] == [False] * 8 + [True] * 2
 
 
+@pytest.mark.parametrize("activation", sorted(autoencoder.ACTIVATIONS))
+def test_gradients_equal_differences(activation):
+    rng = np.random.default_rng(1)
+    net = autoencoder.ConvNet(3, 11, ReconstructionSettings(widths=(4, 5), kernel=3, bottleneck=2, activation=activation))
+    net.p = {k: v.astype(float) for k, v in net.p.items()}
+    x, weight, trace = rng.normal(size=(2, 11, 3)), rng.normal(size=(2, 11, 3)), []
+    assert net.forward(x, trace=trace).shape == x.shape
+    for name, g in net.backward(trace, weight).items():
+        at = tuple(rng.integers(0, n) for n in g.shape)
+        two = []
+        for h in (1e-6, -1e-6):
+            net.p[name][at] += h
+            two.append((net.forward(x) * weight).sum())
+            net.p[name][at] -= h
+        assert abs((two[0] - two[1]) / 2e-6 - g[at]) < 1e-4
+
+
+@pytest.mark.parametrize(("length", "widths", "kernel"), [(7, (4,), 3), (8, (4, 3), 5), (33, (4, 3, 2), 5), (10, (2, 2), 3)])
+def test_windows_come_back_at_their_length(length, widths, kernel):
+    net = autoencoder.ConvNet(2, length, ReconstructionSettings(widths=widths, kernel=kernel))
+    assert net.forward(np.zeros((3, length, 2), dtype=np.float32)).shape == (3, length, 2)
+    y = np.random.default_rng(0).normal(size=(1, net.lengths[1], widths[0]))
+    x = np.random.default_rng(1).normal(size=(1, length, 2))
+    w = net.p["down0"].astype(float)
+    assert np.isclose((autoencoder.gather(x, w) * y).sum(), (x * autoencoder.spread(y, w, length)).sum())
+
+
+def test_autoencoder_settings_are_checked():
+    for wrong in ({"kernel": 4}, {"widths": ()}, {"activation": "none"}):
+        with pytest.raises(ValueError):
+            autoencoder.ConvNet(2, 10, ReconstructionSettings(**wrong))
+
+
+def test_autoencoder_learns_and_attributes(spark):
+    s = ReconstructionSettings(widths=(8, 8), kernel=3, bottleneck=4, epochs=60, patience=60, learning_rate=0.01, batch=16)
+    m = autoencoder.ConvAutoencoder(["a", "b"], 8, s)
+    with pytest.raises(ValueError):
+        m.score(waves(spark))
+    m.fit(waves(spark))
+    assert m.epochs_run == 60 and m.validation_loss < 0.1 and m.elapsed_s > 0
+    got = m.contributions(waves(spark, spike=100)).where(f"us = {T0 + 103 * 1_000_000}").first()
+    assert got["c_b"] > 3 * got["c_a"]
+    again = autoencoder.ConvAutoencoder(["a", "b"], 8, s).fit(waves(spark))
+    one, two = ([r["score"] for r in x.score(waves(spark)).orderBy("us").collect()] for x in (m, again))
+    assert one == two and len(one) == 193
+    assert m.score(waves(spark).limit(0)).count() == 0
+
+
+def test_autoencoder_stops_early_and_keeps_the_best(spark):
+    x = np.random.default_rng(0).normal(size=(40, 8, 2)).astype(np.float32)
+    s = ReconstructionSettings(widths=(4,), kernel=3, bottleneck=2, epochs=500, patience=2, learning_rate=0.05, batch=8)
+    m = autoencoder.ConvAutoencoder(["a", "b"], 8, s)
+    m._train(x[:32], x[32:])
+    assert m.epochs_run < 500 and np.isclose(m._squares(m.net, x[32:]).mean(), m.validation_loss)
+    m = autoencoder.ConvAutoencoder(["a", "b"], 8, ReconstructionSettings(widths=(4,), kernel=3, minutes=0.0))
+    m._train(x, x[:0])
+    assert m.epochs_run == 0 and m.validation_loss is None
+
+
 def rule_frame(spark, cycles, short=()):
     rows, t = [], 0
     for c in range(cycles):

@@ -2,38 +2,52 @@
 
 A multinomial classifier learned from the labels table gives every document a
 posterior over domains (the label combinations). Document rates r >= 0 are then
-fitted by distributed projected-gradient least squares: with n_d the tokens of
-document d and p_dk its posterior, the expected domain totals sum_d n_d r_d p_dk
-shall match the target totals T_k, with a small pull of every rate towards 1
-that makes the answer unique. An iteration is one job that adds up as many
-numbers as there are domains. A rate is a function of the document's posterior
-and of those sums alone, so the last pass over the texts computes it in place
-and no text is shuffled.
+fitted by projected-gradient least squares: with n_d the tokens of document d and
+p_dk its posterior, the expected domain totals sum_d n_d r_d p_dk shall match the
+target totals T_k, with a small pull of every rate towards 1 that makes the
+answer unique. In units of the corpus's tokens, with g the error of the totals,
+a document's gradient is p.g + RIDGE (r - 1), so at the answer
+r = max(0, 1 - p.g / RIDGE): g, as many numbers as there are domains, says all.
+
+Projected-gradient steps run on a histogram of the posteriors (at most MAX_CELLS
+cells, each with its tokens and mean posterior, however large the corpus). From
+the g that they reach, exact passes over all documents add up the totals and the
+Gram matrix of the documents with a positive rate in Spark columns, and correct g
+by that Gram matrix until the error of the projected gradient's fixed point is
+below TOLERANCE; otherwise the fit raises. A rate needs the document's own
+posterior and g alone, so the last pass over the texts computes it in place and
+no text is shuffled.
 
 Defined results: a null or empty text has no tokens and the prior as posterior;
 without usable labels there is one domain and every rate is 1; repeated rows
-and null ids have equal rates for equal texts; an empty table gives none; other
-columns are ignored by `rates` and kept by `mixed`.
+and null ids have equal rates for equal texts; a very long text is classified as
+a whole, in a slice of its own; a doc_id with several labels has the first by
+name; an empty table gives none; other columns are ignored by `rates` and kept
+by `mixed`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import bounded_sample, table, written
+from .common import bounded_sample, discard_tables, table, written
 
 N_BUCKETS = 1 << 14
 #: The classifier learns from about so many labelled rows at most (by id hash).
 MAX_LABELLED = 20_000
 #: Wanted shares of domains in the corpus's tokens. The others keep what they have, or less where that is more than these leave.
 TARGETS = {"quality1-toxic0": 0.93, "quality1-toxic1": 0.06}
-RIDGE, ROUNDS, TOLERANCE = 1e-3, 40, 5e-4
+RIDGE, TOLERANCE = 1e-5, 1e-9
+MAX_CELLS = 50_000
+#: Projected-gradient steps on the histogram, and exact passes after which the fit raises.
+STEPS, PASSES = 2_000, 60
 
 
 def word_buckets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,13 +122,9 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> Classifier:
     return model
 
 
-def rates_after(posteriors: np.ndarray, steps: list[tuple[np.ndarray, float]], step: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the given gradient steps from 1 (accelerated, projected onto r >= 0), and the point of the next gradient."""
-    r = y = np.ones(len(posteriors))
-    for gradient, momentum in steps:
-        new = np.maximum(y - step * (posteriors @ gradient + RIDGE * (y - 1)), 0)
-        r, y = new, new + momentum * (new - r)
-    return r, y
+def rates_at(posteriors: np.ndarray, g: np.ndarray, ridge: float) -> np.ndarray:
+    """The rates that belong to the error g of the totals."""
+    return np.maximum(1 - posteriors @ g / ridge, 0)
 
 
 def target_totals(names: list[str], totals: np.ndarray, targets: dict[str, float] | None = None) -> np.ndarray:
@@ -128,40 +138,70 @@ def target_totals(names: list[str], totals: np.ndarray, targets: dict[str, float
     return (share / share.sum() if share.sum() else np.ones(len(names)) / len(names)) * totals.sum()
 
 
-def fit_rates(posteriors: DataFrame, names: list[str], targets: dict[str, float] | None = None) -> tuple[list, float, np.ndarray, np.ndarray]:
-    """The gradient steps and their size; the expected and the wanted totals. posteriors: (n_tokens, posterior)."""
-    k = len(names)
-
-    def summed(steps: list, step: float, square: bool, at_point: bool = True) -> np.ndarray:
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(k * k if square else k)
-            for batch in batches:
-                n = batch.column(0).to_numpy()
-                p = batch.column(1).flatten().to_numpy().reshape(-1, k)
-                total += (p.T @ (p * n[:, None])).ravel() if square else (n * rates_after(p, steps, step)[at_point]) @ p
-            yield pa.record_batch([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["cell", "v"])
-
-        rows = posteriors.mapInArrow(add, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()
-        out = np.zeros(k * k if square else k)
-        for r in rows:
-            out[r["cell"]] = r["v"]
-        return out
-
-    totals = summed([], 0.0, False)
-    size = max(totals.sum(), 1.0)
-    wanted = target_totals(names, totals, targets)
-    step = 1 / (np.linalg.eigvalsh(summed([], 0.0, True).reshape(k, k) / size).max() + RIDGE)
-    steps: list[tuple[np.ndarray, float]] = []
-    t, now = 1.0, totals
-    for _ in range(ROUNDS):
-        gradient = (now - wanted) / size
-        if np.abs(gradient).max() < TOLERANCE:
-            break
+def histogram(posteriors: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and mean posterior of each cell of a grid over the simplex with at most MAX_CELLS cells."""
+    grid = 64
+    while grid > 1 and (k + 1) * comb(grid + 2 * k - 1, k - 1) > MAX_CELLS:  # rounded parts add up to one of k + 1 sums
+        grid -= 1
+    parts = [F.col("posterior")[i] for i in range(k)]
+    cell = F.array(*(F.round(x * grid).cast("int") for x in parts))
+    rows = posteriors.groupBy(cell.alias("cell")).agg(F.sum("n_tokens").alias("n"), *(F.sum(F.col("n_tokens") * x).alias(f"s{i}") for i, x in enumerate(parts))).where("n > 0").collect()
+    n = np.array([r["n"] for r in rows], dtype=float)
+    return n, np.array([[r[f"s{i}"] for i in range(k)] for r in rows], dtype=float).reshape(-1, k) / n[:, None]
+
+
+def projected_gradient(n: np.ndarray, p: np.ndarray, wanted: np.ndarray, ridge: float) -> np.ndarray:
+    """The error g of the totals after STEPS accelerated projected-gradient steps from rates of 1 (with restarts)."""
+    size = n.sum()
+    step = 1 / (np.linalg.eigvalsh(p.T @ (p * n[:, None]) / size).max() + ridge)
+    r = y = np.ones(len(n))
+    t = 1.0
+    for _ in range(STEPS):
+        gradient = p @ (((n * y) @ p - wanted) / size) + ridge * (y - 1)
+        new = np.maximum(y - step * gradient, 0)
+        if (n * gradient) @ (new - r) > 0:  # the momentum points uphill
+            y, t = r, 1.0
+            continue
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        steps.append((gradient, (t - 1) / after))
-        t = after
-        now = summed(steps, step, False)
-    return steps, step, summed(steps, step, False, False), wanted
+        if np.abs(new - r).max() < 1e-12:
+            r = new
+            break
+        r, y, t = new, new + (t - 1) / after * (new - r), after
+    return ((n * r) @ p - wanted) / size
+
+
+def fit_rates(posteriors: DataFrame, names: list[str], targets: dict[str, float] | None = None, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """g, and the expected and the wanted totals. posteriors: (n_tokens, posterior)."""
+    k = len(names)
+    n, p = histogram(posteriors, k)
+    if not len(n):
+        return np.zeros(k), np.zeros(k), np.zeros(k)
+    size, wanted = n.sum(), target_totals(names, n @ p, targets)
+    g = projected_gradient(n, p, wanted, ridge)
+    parts = [F.col("posterior")[i] for i in range(k)]
+
+    def moments(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rate = 1 - sum((x * float(v) for x, v in zip(parts, g, strict=True)), F.lit(0.0)) / ridge
+        tokens = F.when(rate > 0, F.col("n_tokens")).otherwise(F.lit(0))
+        total: list[Column] = [F.sum(tokens * rate * x) for x in parts]
+        gram = [F.sum(tokens * parts[i] * parts[j]) for i in range(k) for j in range(i, k)]
+        got = np.array(posteriors.agg(*(x.alias(f"v{i}") for i, x in enumerate([*total, *gram]))).first(), dtype=float)
+        square = np.zeros((k, k))
+        square[np.triu_indices(k)] = got[k:]
+        return got[:k], square + np.triu(square, 1).T
+
+    last, best = np.inf, g
+    for _ in range(PASSES):
+        totals, gram = moments(g)
+        error = (totals - wanted) / size - g
+        if (now := float(np.abs(error).max())) < TOLERANCE:
+            return g, totals, wanted
+        if now < last:
+            last, best, move = now, g, np.linalg.solve(np.eye(k) + gram / (ridge * size), error)
+        else:  # too far: the set of positive rates has changed too much
+            move = move / 2
+        g = best + move
+    raise RuntimeError(f"the rates have not converged: error {last:.2e} after {PASSES} passes")
 
 
 def _scored(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -175,26 +215,24 @@ def _scored(docs: DataFrame, model: Classifier) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>")
 
 
-def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, n_tokens, posterior (in the order of the sorted domain names) and rate of every document."""
+def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, ridge: float = RIDGE) -> DataFrame:
+    """doc_id, n_tokens, posterior (in the order of the sorted domain names) and rate of every document, and, the same in
+    all rows, the domains and their wanted and reached shares of the tokens."""
     model = fit_classifier(docs, labels)
     scored = written(_scored(docs, model), "posteriors")
-    steps, step, _, _ = fit_rates(scored.select("n_tokens", "posterior"), model.names, targets)
-    k = len(model.names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = batch.column(2).flatten().to_numpy().reshape(-1, k)
-            yield pa.record_batch([*batch.columns, pa.array(rates_after(p, steps, step)[0])], names=["doc_id", "n_tokens", "posterior", "rate"])
-
-    return scored.mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>, rate double")
+    g, totals, wanted = fit_rates(scored.select("n_tokens", "posterior"), model.names, targets, ridge)
+    rate = F.greatest(F.lit(0.0), 1 - sum((F.col("posterior")[i] * float(v) for i, v in enumerate(g)), F.lit(0.0)) / ridge)
+    shares = [F.array(*(F.lit(float(v)) for v in x / max(x.sum(), 1.0))) for x in (wanted, totals)]
+    return scored.select("*", rate.alias("rate"), F.array(*map(F.lit, model.names)).alias("domains"), shares[0].alias("wanted_shares"), shares[1].alias("reached_shares"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """The documents, each repeated floor(rate + u) times with u from a hash of its id and text; all columns."""
     model = fit_classifier(docs, labels)
     scored = written(_scored(docs, model).select("n_tokens", "posterior"), "posteriors")
-    steps, step, _, _ = fit_rates(scored, model.names, targets)
+    g, _, _ = fit_rates(scored, model.names, targets)
+    discard_tables(scored)
+    ridge = RIDGE
     at_text, width = docs.columns.index("text"), len(docs.columns)
     names = docs.columns
 
@@ -203,7 +241,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
             plain = pa.record_batch(whole.columns, names=[f"c{i}" for i in range(width + 1)])
             for batch in tk.slices(plain, f"c{at_text}"):
                 means, _ = model.means(*tk.buffers(batch.column(at_text)))
-                r, _ = rates_after(model.posteriors(means), steps, step)
+                r = rates_at(model.posteriors(means), g, ridge)
                 copies = np.floor(r + batch.column(width).to_numpy()).astype(np.int64)
                 out = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), copies)))
                 yield pa.record_batch(out.columns[:width], names=names)

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import overlaps
-
 
 def poisson(rate_per_day: Column, width_h: Column) -> Column:
     """Probability of at least one false alarm within the window."""
@@ -23,10 +21,13 @@ def permutation(eps: DataFrame, periods: DataFrame, samples: int, by: Sequence[s
     p = periods.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     t = F.col("lo") + F.floor(F.col("i") * (F.col("hi") - F.col("lo")) / (samples - 1)).cast("long")
     p = p.withColumn("t", t).where(F.col("t") - F.col("width_us") >= F.col("lo"))
-    e = eps.select(*by, F.col("start_us").alias("__s"), F.col("end_us").alias("__e"))
-    hit = p.join(e, [*by]).where(overlaps(F.col("__s"), F.col("__e"), F.col("t") - F.col("width_us"), F.col("t"))).select(*by, "i").distinct().withColumn("hit", F.lit(1.0))
-    out = p.join(hit, [*by, "i"], "left")
-    return out.groupBy(*by).agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("p_permutation"), F.count("*").alias("n_valid"))
+    # an episode overlaps [t - width, t] if one that has begun by t ends at t - width or later: one ordered pass, no pairs
+    e = eps.select(*by, F.col("start_us").alias("t"), F.col("end_us").alias("__end"), F.lit(None).cast("long").alias("width_us"))
+    both = p.select(*by, "t", F.lit(None).cast("long").alias("__end"), "width_us").unionByName(e)
+    so_far = Window.partitionBy(*by).orderBy("t", F.col("width_us").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("__last", F.max("__end").over(so_far)).where("width_us is not null")
+    hit = F.coalesce(F.col("__last") >= F.col("t") - F.col("width_us"), F.lit(False)).cast("double")
+    return both.groupBy(*by).agg(F.avg(hit).alias("p_permutation"), F.count("*").alias("n_valid"))
 
 
 def compare(results: DataFrame, threshold: float) -> DataFrame:

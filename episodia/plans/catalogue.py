@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +12,13 @@ from ..config import micros
 from ..functions.rounding import rounded
 from ..models.autoencoder import ConvAutoencoder
 from ..models.forest import IsolationForest
-from ..models.reconstruct import Reconstruction, with_windows
+from ..models.reconstruct import Reconstruction, validation_split, with_windows
 from ..models.rules import RuleModel
 from ..config import ForestSettings, ReconstructionSettings, ScalingSettings
 from ..operators import chance, cycles, episodes, exploration, folds, intervals, ordered, rank, regimes, sampling, scaling
 from ..schema import US_PER_DAY
 from ..sources.telemetry import telemetry
+from . import evaluation
 from . import params as P
 from .oracle import ORACLE_SQL
 
@@ -429,6 +431,54 @@ def skill_table(spark, d):
     return rounded(chance.skill(joined, ["asset_id"]))
 
 
+# --- whole evaluations of the rule model ------------------------------------
+
+
+def _plan(spark, d) -> evaluation.Plan:
+    return evaluation.plan(telemetry(spark, d), P.SETTINGS, P.US_START, P.US_END)
+
+
+@query
+def rule_evaluation(spark, d):
+    return rounded(evaluation.rule_results(_plan(spark, d), P.QUANTILES))
+
+
+@query
+def rule_pooled(spark, d):
+    return rounded(evaluation.rule_pooled(_plan(spark, d), P.QUANTILES))
+
+
+@query
+def rule_shift(spark, d):
+    test, train = evaluation.rule_scores(_plan(spark, d))
+    return rounded(rank.score_shift(train, test, "score", ["event_id"]))
+
+
+@query
+def rule_episodes(spark, d):
+    flagged = evaluation.rule_flags(_plan(spark, d), P.QUANTILES)
+    return episodes.episodes(flagged, [*evaluation.FOLD, "quantile"]).select(*evaluation.FOLD, "quantile", "episode", "start_us", "end_us")
+
+
+@query
+def rule_calibration(spark, d):
+    m = evaluation.fitted_rules(_plan(spark, d))
+    parts = [m.calibration_quantile(r, 0.05).withColumn("rule", F.lit(r)) for r in m.contributors]
+    return rounded(reduce(DataFrame.unionByName, parts).select(*evaluation.FOLD, "rule", "value"))
+
+
+@query
+def train_validation(spark, d):
+    train = folds.train_rows(telemetry(spark, d), fold_df(spark))
+    return validation_split(train, P.SETTINGS.reconstruction.validation, evaluation.FOLD).select(*evaluation.FOLD, "us", "validation")
+
+
+@query
+def fold_history(spark, d):
+    long = [folds.extended(f, P.EVENTS, P.SPLIT, folds.at(P.DATA_END)) for f in fold_plan()]
+    return folds.fold_rows(telemetry(spark, d), folds.fold_table(spark, long)).groupBy(*evaluation.FOLD).agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+
+
 # --- exploration ------------------------------------------------------------
 
 

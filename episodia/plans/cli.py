@@ -22,6 +22,7 @@ def main(args: list[str] | None = None) -> None:
     for name, df in out.items():
         print(name)
         df.orderBy(*df.columns[:3]).show(50, truncate=False)
+    p.release()
 
 
 if __name__ == "__main__":

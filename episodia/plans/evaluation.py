@@ -8,7 +8,7 @@ score is computed once and shared by all widths and quantiles.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +34,17 @@ class Plan:
     extended: list[folds.Fold]
     stretches: DataFrame
     settings: Settings
+    kept: list[DataFrame] = field(default_factory=list)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, cached, as many branches read it; release() lets it go."""
+        self.kept.append(df.persist())
+        return df
+
+    def release(self) -> None:
+        """To be called when no result of this plan will be read any more."""
+        while self.kept:
+            self.kept.pop().unpersist()
 
 
 def plan(df: DataFrame, s: Settings, data_start: int, data_end: int, by_event_max: bool = False) -> Plan:
@@ -44,18 +55,24 @@ def plan(df: DataFrame, s: Settings, data_start: int, data_end: int, by_event_ma
     long = [folds.extended(f, v.events, s.split, data_end) for f in made]
     found = folds.normal_stretches(v.events, s.split, v, data_start, data_end)
     stretches = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(found)], "scope_id int, start_us long, end_us long")
-    return Plan(assign_regimes(df, s.regimes).persist(), made, made if by_event_max else long, stretches, s)
+    out = Plan(assign_regimes(df, s.regimes), made, made if by_event_max else long, stretches, s)
+    out.keep(out.rows)
+    return out
+
+
+def flags(p: Plan, scores: DataFrame, train_scores: DataFrame, quantiles: Sequence[float]) -> DataFrame:
+    """Scores by fold and quantile of the training scores, with their episodes."""
+    hold, gap, _ = episodes.episode_settings(p.settings.evaluation)
+    rows = scores.join(rank.thresholds(train_scores, "score", quantiles, FOLD), FOLD)
+    return episodes.flag_episodes(rows, F.col("threshold"), hold, gap, [*FOLD, "quantile"])
 
 
 def at_widths(p: Plan, scores: DataFrame, train_scores: DataFrame, quantiles: Sequence[float], widths: Sequence[float] | None) -> DataFrame:
     """Fold results by event, asset, width and quantile, with both chance comparisons. scores: test rows with event_id."""
     spark, s = scores.sparkSession, p.settings
     v = s.evaluation
-    hold, gap, least = episodes.episode_settings(v)
-    keys = [*FOLD, "quantile"]
-    cuts = rank.thresholds(train_scores, "score", quantiles, FOLD)
-    rows = scores.join(cuts, FOLD)
-    eps = episodes.episodes(episodes.flag_episodes(rows, F.col("threshold"), hold, gap, keys), keys, least)
+    _, gap, least = episodes.episode_settings(v)
+    eps = episodes.episodes(flags(p, scores, train_scores, quantiles), [*FOLD, "quantile"], least)
     folded = folds.fold_table(spark, p.extended)
     own = folded.select("event_id", "width_h") if widths is None else folded.select("event_id").crossJoin(F.broadcast(spark.createDataFrame([(float(w),) for w in widths], "width_h double")))
     masks = episodes.mask_table(spark, v.events, s.split)
@@ -100,20 +117,51 @@ def in_test(p: Plan, scored: DataFrame) -> DataFrame:
     return scored.join(f, "event_id").where(F.col("us").between(F.col("test_start"), F.col("test_end"))).drop("test_start", "test_end")
 
 
+def _rule_columns(p: Plan) -> list[str]:
+    return [*FOLD, "us", "regime", p.settings.features.decay_channel]
+
+
+def fitted_rules(p: Plan, by: Sequence[str] = FOLD) -> RuleModel:
+    """The rule model of every fold at once: its training rows are keyed by fold."""
+    return RuleModel(p.settings.features, p.settings.rules, by, FOLD).fit(_scopes(p)[0].select(*_rule_columns(p)))
+
+
+def rule_scores(p: Plan) -> tuple[DataFrame, DataFrame]:
+    """Scores of the test and of the training rows."""
+    m, (train, history, _) = fitted_rules(p), _scopes(p)
+    columns = [*FOLD, "us", "score"]
+    return p.keep(in_test(p, m.score(history.select(*_rule_columns(p)))).select(*columns, *m.contributors)), p.keep(m.score(train.select(*_rule_columns(p))).select(*columns))
+
+
+def rule_normal(p: Plan) -> DataFrame:
+    return p.keep(fitted_rules(p, SCOPE).score(_scopes(p)[2].select("scope_id", *_rule_columns(p))).select(*SCOPE, "us", "score"))
+
+
+def rule_flags(p: Plan, quantiles: Sequence[float]) -> DataFrame:
+    return flags(p, *rule_scores(p), quantiles)
+
+
+def rule_results(p: Plan, quantiles: Sequence[float]) -> DataFrame:
+    return at_widths(p, *rule_scores(p), quantiles, _widths(p))
+
+
+def rule_pooled(p: Plan, quantiles: Sequence[float]) -> DataFrame:
+    return pooled(p, rule_normal(p), rule_scores(p)[1], quantiles)
+
+
+def _widths(p: Plan) -> Sequence[float] | None:
+    return None if p.extended is p.folds else p.settings.evaluation.widths_h
+
+
 def run_rules(p: Plan, quantiles: Sequence[float] | None = None) -> dict[str, DataFrame]:
     """The rule model: results at the common widths, pooled false alarms, and skill."""
-    s, quantiles = p.settings, quantiles or [p.settings.evaluation.quantile]
-    train, history, normal = _scopes(p)
-    columns = [*FOLD, "us", "regime", s.features.decay_channel]
-    m = RuleModel(s.features, s.rules, FOLD, FOLD).fit(train.select(*columns))
-    wide = RuleModel(s.features, s.rules, SCOPE, FOLD).fit(train.select(*columns))
-    train_scores = m.score(train.select(*columns))
-    return _results(p, in_test(p, m.score(history.select(*columns))), train_scores, wide.score(normal.select("scope_id", *columns)), quantiles)
+    test, train = rule_scores(p)
+    return _results(p, test, train, rule_normal(p), quantiles or [p.settings.evaluation.quantile])
 
 
 def _results(p: Plan, test: DataFrame, train: DataFrame, normal: DataFrame, quantiles: Sequence[float]) -> dict[str, DataFrame]:
-    test, train, normal = (x.persist() for x in (test, train, normal))  # each is read by many branches
-    results = at_widths(p, test, train, quantiles, None if p.extended is p.folds else p.settings.evaluation.widths_h)
+    test, train, normal = (p.keep(x) for x in (test, train, normal))
+    results = at_widths(p, test, train, quantiles, _widths(p))
     rates = pooled(p, normal, train, quantiles)
     return {"results": results, "pooled": rates, "skill": chance.skill(results, ["width_h", "quantile"]), "shift": rank.score_shift(train, test, "score", ["event_id"])}
 
@@ -181,7 +229,7 @@ def run_reconstruction(p: Plan, interval_us: int) -> dict[str, DataFrame]:
         mine = lambda df, f=f: df.where(F.col("event_id") == f.event_id)
         m = reconstruction(channels, length, s.reconstruction).fit(mine(fit_rows))
         parts.append([m.score(mine(df)).drop("w") for df in (test_rows, fit_rows, normal_rows)])
-    test, fitted, scored = (_stacked(list(x)).persist() for x in zip(*parts, strict=True))
+    test, fitted, scored = (p.keep(_stacked(list(x))) for x in zip(*parts, strict=True))
     rates = pooled(p, scored, fitted, v.quantiles)
     out = {"pooled": rates, "shift": rank.score_shift(fitted, in_test(p, test), "score", ["event_id"]), "operating_point": chance.operating_point(rates, v.false_alarm_ceiling)}
     chosen = out["operating_point"].first()

@@ -93,9 +93,10 @@ rk_{q} AS (SELECT asset_id, v, CASE WHEN sum(t) OVER (PARTITION BY asset_id) = 0
 
 RULE_COLUMNS = {"short_stopped_duration": ("low", "q1"), "fast_pressure_decay": ("high", "q2"), "low_peak_pressure": ("low", "q3"), "high_duty_ratio": ("high", "q4")}
 _med = lambda c: f"median({c}) OVER ({frame(micros(P.RULES.baseline))})"
-RULES = f"""{FEATURES},
+QUANTITIES = f"""{FEATURES},
 quant0 AS (SELECT *, {_med('stopped_duration_last')} AS b1, {_med('abs_decay')} AS b2, {_med('peak_last')} AS b3 FROM feat),
-quant AS (SELECT asset_id, us, {ratio('stopped_duration_last', 'b1')} AS q1, {ratio('abs_decay', 'b2')} AS q2, {ratio('peak_last', 'b3')} AS q3, duty_ratio_trailing AS q4 FROM quant0),
+quant AS (SELECT asset_id, us, {ratio('stopped_duration_last', 'b1')} AS q1, {ratio('abs_decay', 'b2')} AS q2, {ratio('peak_last', 'b3')} AS q3, duty_ratio_trailing AS q4 FROM quant0)"""
+RULES = f"""{QUANTITIES},
 {', '.join(_rank_cte(q) for q in ('q1', 'q2', 'q3', 'q4'))},
 sev AS (SELECT d.asset_id, d.us, {', '.join(f"CASE WHEN rk_{q}.rk IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, {'1 - 2 * ' if side == 'low' else '2 * '}rk_{q}.rk{'' if side == 'low' else ' - 1'})) END AS {name}" for name, (side, q) in RULE_COLUMNS.items())}
   FROM quant d {' '.join(f'LEFT JOIN rk_{q} ON rk_{q}.asset_id = d.asset_id AND rk_{q}.v = d.{q}' for q in ('q1', 'q2', 'q3', 'q4'))})"""
@@ -178,6 +179,53 @@ phole AS (SELECT asset_id, scope_id, CAST(sum(us - s) AS BIGINT) AS t FROM (SELE
 pdays AS (SELECT asset_id, sum(greatest(hi - lo - coalesce(t, 0), 0) / 86400000000.0) AS days FROM pper LEFT JOIN phole USING (asset_id, scope_id) GROUP BY asset_id),
 pool AS (SELECT d.asset_id, h.threshold, coalesce(n.n, 0) AS n_episodes, d.days, CASE WHEN d.days > 0 THEN coalesce(n.n, 0) / d.days ELSE 0.0 END AS rate FROM pdays d CROSS JOIN thr h LEFT JOIN (SELECT asset_id, threshold, count(*) AS n FROM p5 GROUP BY ALL) n USING (asset_id, threshold))"""
 
+# Whole evaluations of the rule model: training (t), history (h) and stretch (s) rows of each fold go through the same
+# expressions, told apart by a series name of kind/event/asset/scope.
+EV_PREFIX = f"""{REG.replace("reg AS (", "reg0 AS (")}, {FOLDS}, {STRETCH.removeprefix(EVENTS).removeprefix(",")}, {MASKS},
+ext AS (SELECT f.*, greatest(f.test_end, coalesce((SELECT arg_min(x.x0, x.start_us) FROM ev x WHERE x.start_us > f.event_start_us), de)) AS ext_end FROM fold f, bounds),
+reg AS (SELECT 't/' || f.event_id || '/' || asset_id || '/' AS asset_id, us, value, regime FROM reg0 r JOIN fold f ON r.us >= f.train_start AND r.us < f.train_end WHERE NOT EXISTS (SELECT 1 FROM holes h WHERE h.event_id = f.event_id AND r.us >= h.start_us AND r.us < h.end_us)
+  UNION ALL SELECT 'h/' || f.event_id || '/' || asset_id || '/', us, value, regime FROM reg0 r JOIN ext f ON r.us BETWEEN f.train_start AND f.ext_end
+  UNION ALL SELECT 's/' || f.event_id || '/' || asset_id || '/' || s.scope_id, us, value, regime FROM reg0 r JOIN stretch s ON r.us BETWEEN s.start_us AND s.end_us CROSS JOIN fold f)"""
+
+
+def _ev_rank(q: str) -> str:
+    return f"""pt_{q} AS (SELECT k, {q} AS v, sum(t) AS t FROM (SELECT k, {q}, 1 AS t FROM qk WHERE kind = 't' UNION ALL SELECT k, {q}, 0 FROM qk) WHERE {q} IS NOT NULL GROUP BY ALL),
+rk_{q} AS (SELECT k, v, CASE WHEN sum(t) OVER (PARTITION BY k) = 0 THEN 0.5 ELSE (2 * sum(t) OVER (PARTITION BY k ORDER BY v {SO_FAR}) - t) / (2.0 * sum(t) OVER (PARTITION BY k)) END AS rk FROM pt_{q})"""
+
+
+_ev_severities = [f"CASE WHEN rk_{q}.rk IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, {'1 - 2 * ' if side == 'low' else '2 * '}rk_{q}.rk{'' if side == 'low' else ' - 1'})) END" for side, q in RULE_COLUMNS.values()]
+_ev_quantiles = f"(VALUES {', '.join(f'({p!r}e0)' for p in P.QUANTILES)}) t(quantile)"
+_ev_widths = f"(VALUES {', '.join(f'({w!r}e0)' for w in P.WIDTHS)}) t(width_h)"
+EV_SCORES = f"""{QUANTITIES.replace(REG, EV_PREFIX)},
+qk AS (SELECT *, split_part(asset_id, '/', 1) AS kind, split_part(asset_id, '/', 2) || '/' || split_part(asset_id, '/', 3) AS k FROM quant),
+{', '.join(_ev_rank(q) for _, q in RULE_COLUMNS.values())},
+sc AS (SELECT kind, CAST(split_part(d.asset_id, '/', 2) AS INTEGER) AS event_id, split_part(d.asset_id, '/', 3) AS asset_id, split_part(d.asset_id, '/', 4) AS scope_id, us, greatest({', '.join(_ev_severities)}) AS score
+  FROM qk d {' '.join(f'LEFT JOIN rk_{q} ON rk_{q}.k = d.k AND rk_{q}.v = d.{q}' for _, q in RULE_COLUMNS.values())}),
+cut AS (SELECT * FROM ({' UNION ALL '.join(f"SELECT event_id, asset_id, {p!r}e0 AS quantile, quantile_cont(score, {p!r}) AS threshold FROM sc WHERE kind = 't' GROUP BY event_id, asset_id" for p in P.QUANTILES)})),
+etest AS (SELECT s.event_id, s.asset_id, s.us, s.score FROM sc s JOIN ext f USING (event_id) WHERE kind = 'h' AND s.us BETWEEN f.test_start AND f.ext_end)"""
+EV_EPISODES = f"""{EV_SCORES},
+erows AS (SELECT e.*, quantile, threshold FROM etest e JOIN cut USING (event_id, asset_id)), {flagged('erows', 'event_id, asset_id, quantile', 'threshold', 'w')}"""
+EV_RESULTS = f"""{EV_EPISODES},
+wid AS (SELECT * FROM {_ev_widths}), qs AS (SELECT * FROM {_ev_quantiles}),
+ecat AS (SELECT e.*, width_h, f.event_start_us, CASE WHEN e.start_us <= f.event_start_us AND e.end_us >= f.event_start_us - CAST(width_h * {P.HOUR} AS BIGINT) THEN 'early_warning' WHEN e.start_us <= f.event_end_us AND e.end_us >= f.event_start_us THEN 'concurrent'
+  WHEN EXISTS (SELECT 1 FROM masks m WHERE e.start_us <= m.end_us AND e.end_us >= m.start_us) THEN 'masked' ELSE 'false_alarm' END AS category FROM w5 e JOIN fold f USING (event_id) CROSS JOIN wid),
+eper AS (SELECT a.asset_id, f.event_id, f.test_start AS lo, f.ext_end AS hi FROM ext f, (SELECT DISTINCT asset_id FROM etest) a),
+miss0 AS (SELECT event_id, asset_id, greatest(m.start_us, lo) AS start_us, least(m.end_us, hi) AS end_us FROM eper, masks m UNION ALL
+  SELECT event_id, asset_id, greatest(s, lo), least(us, hi) FROM (SELECT event_id, asset_id, lag(us) OVER (PARTITION BY event_id, asset_id ORDER BY us) AS s, us FROM etest) JOIN eper USING (event_id, asset_id) WHERE us - s > {SCORE_GAP}),
+miss AS (SELECT * FROM miss0 WHERE end_us > start_us), {union_of('miss', 'lost', 'event_id, asset_id')},
+edays AS (SELECT p.event_id, p.asset_id, greatest(hi - lo - coalesce(l.t, 0), 0) / 86400000000.0 AS days FROM eper p LEFT JOIN (SELECT event_id, asset_id, CAST(sum(end_us - start_us) AS BIGINT) AS t FROM lost GROUP BY ALL) l USING (event_id, asset_id)),
+eplace AS (SELECT event_id, asset_id, width_h, quantile, lo, CAST(width_h * {P.HOUR} AS BIGINT) AS w, lo + CAST(floor(i * (hi - lo) / {N - 1}) AS BIGINT) AS t FROM eper CROSS JOIN wid CROSS JOIN qs, range(0, {N}) g(i)),
+eperm AS (SELECT p.event_id, p.asset_id, p.width_h, p.quantile, avg(CAST(EXISTS (SELECT 1 FROM w5 e WHERE e.event_id = p.event_id AND e.asset_id = p.asset_id AND e.quantile = p.quantile AND e.start_us <= p.t AND e.end_us >= p.t - p.w) AS DOUBLE)) AS p_permutation, count(*) AS n_valid FROM eplace p WHERE t - w >= lo GROUP BY ALL),
+eres0 AS (SELECT d.event_id, d.asset_id, wid.width_h, qs.quantile, coalesce(c.n, 0) AS n_episodes, coalesce(c.fa, 0) AS n_false_alarms, coalesce(c.ma, 0) AS n_masked, coalesce(c.det, FALSE) AS detected, NOT coalesce(c.det, FALSE) AND coalesce(c.con, FALSE) AS concurrent_only, c.lead_h, d.days,
+  CASE WHEN d.days > 0 THEN coalesce(c.fa, 0) / d.days ELSE 0.0 END AS false_alarms_per_day FROM edays d CROSS JOIN wid CROSS JOIN qs LEFT JOIN (SELECT event_id, asset_id, width_h, quantile, count(*) AS n, count(*) FILTER (category = 'false_alarm') AS fa, count(*) FILTER (category = 'masked') AS ma, bool_or(category = 'early_warning') AS det, bool_or(category = 'concurrent') AS con,
+  (any_value(event_start_us) - min(start_us) FILTER (category = 'early_warning')) / 3.6e9 AS lead_h FROM ecat GROUP BY ALL) c ON c.event_id = d.event_id AND c.asset_id = d.asset_id AND c.width_h = wid.width_h AND c.quantile = qs.quantile),
+eres AS (SELECT r.*, 1 - exp(-false_alarms_per_day * r.width_h / 24) AS p_poisson, p.p_permutation, p.n_valid FROM eres0 r LEFT JOIN eperm p USING (event_id, asset_id, width_h, quantile))"""
+EV_POOLED = f"""{EV_SCORES},
+erows AS (SELECT s.event_id, s.scope_id, s.asset_id, s.us, s.score, quantile, threshold FROM sc s JOIN cut USING (event_id, asset_id) WHERE kind = 's'), {flagged('erows', 'event_id, scope_id, asset_id, quantile', 'threshold', 'p')},
+hole AS (SELECT event_id, scope_id, asset_id, CAST(sum(us - s) AS BIGINT) AS t FROM (SELECT event_id, scope_id, asset_id, us, lag(us) OVER (PARTITION BY event_id, scope_id, asset_id ORDER BY us) AS s FROM sc WHERE kind = 's') WHERE us - s > {SCORE_GAP} GROUP BY ALL),
+pdays AS (SELECT a.event_id, a.asset_id, sum(greatest(s.end_us - s.start_us - coalesce(t, 0), 0) / 86400000000.0) AS days FROM (SELECT DISTINCT event_id, asset_id FROM sc WHERE kind = 't') a CROSS JOIN stretch s LEFT JOIN hole h ON h.event_id = a.event_id AND h.asset_id = a.asset_id AND h.scope_id = CAST(s.scope_id AS VARCHAR) GROUP BY ALL),
+pool AS (SELECT d.event_id, d.asset_id, qs.quantile, coalesce(n.n, 0) AS n_episodes, d.days, CASE WHEN d.days > 0 THEN coalesce(n.n, 0) / d.days ELSE 0.0 END AS rate FROM pdays d CROSS JOIN (SELECT * FROM {_ev_quantiles}) qs LEFT JOIN (SELECT event_id, asset_id, quantile, count(*) AS n FROM p5 GROUP BY ALL) n ON n.event_id = d.event_id AND n.asset_id = d.asset_id AND n.quantile = qs.quantile)"""
+
 
 def scaler(center: str, scale: str) -> str:
     return f"WITH {TEL} SELECT asset_id, 'value' AS channel, {r(center, 'center')}, {r(f'CASE WHEN abs({scale}) < 1e-8 THEN 1.0 ELSE {scale} END', 'scale')}, count(*) AS n FROM tel GROUP BY asset_id"
@@ -257,4 +305,11 @@ ORACLE_SQL: dict[str, str] = {
     "stats_drift": f"WITH {TEL}, a AS (SELECT {q(.5)} AS m, {q(.75)} - {q(.25)} AS i FROM tel WHERE us < {at(P.EVENTS[1].start)}), z AS (SELECT {q(.5)} AS m, {q(.75)} - {q(.25)} AS i FROM tel) SELECT 'value' AS channel, {r('a.m', 'part_center')}, {r('a.i', 'part_iqr')}, {r('z.m', 'whole_center')}, {r('z.i', 'whole_iqr')}, {r('(a.m - z.m) / z.m * 100', 'center_percent')}, {r('(a.i - z.i) / z.i * 100', 'iqr_percent')} FROM a, z",
     "smoothed_durations": f"WITH {REG}, s0 AS (SELECT asset_id, us, CASE WHEN us - lag(us) OVER ({BY}) > {GAP} OR lag(us) OVER ({BY}) IS NULL THEN 1 ELSE 0 END AS fresh FROM reg WHERE regime = 'STOPPED'), s1 AS (SELECT *, CAST(sum(fresh) OVER ({BY} {SO_FAR}) AS BIGINT) AS run_id FROM s0), s2 AS (SELECT asset_id, run_id, min(us) AS start_us, (max(us) - min(us)) / 1e6 AS duration_s FROM s1 GROUP BY ALL) SELECT asset_id, run_id, start_us, {r('duration_s', 'duration_s')}, {r('CASE WHEN count(*) OVER w >= 20 THEN median(duration_s) OVER w END', 'smoothed_s')} FROM s2 WINDOW w AS (PARTITION BY asset_id ORDER BY run_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)",
     "max_against_train": f"WITH {TRAIN}, t AS (SELECT event_id, asset_id, max(value / 100) AS top FROM test GROUP BY ALL) SELECT event_id, asset_id, {r('any_value(top)', 'top')}, {r('avg(CAST(value / 100 < top AS DOUBLE)) * 100', 'percent_below')} FROM train JOIN t USING (event_id, asset_id) GROUP BY event_id, asset_id",
+    "rule_evaluation": f"WITH {EV_RESULTS} SELECT event_id, asset_id, width_h, quantile, n_episodes, n_false_alarms, n_masked, detected, concurrent_only, {r('lead_h', 'lead_h')}, {r('days', 'days')}, {r('false_alarms_per_day', 'false_alarms_per_day')}, {r('p_poisson', 'p_poisson')}, {r('p_permutation', 'p_permutation')}, n_valid, detected AND (p_poisson > {P.EVALUATION.chance_threshold} OR p_permutation > {P.EVALUATION.chance_threshold}) AS explained_by_chance FROM eres",
+    "rule_pooled": f"WITH {EV_POOLED} SELECT event_id, asset_id, quantile, n_episodes, {r('days', 'days')}, {r('rate', 'rate')} FROM pool",
+    "rule_shift": f"WITH {EV_SCORES}, a AS (SELECT event_id, {q(.5, 'score')} AS m, {q(.99, 'score')} AS p, max(score) AS x FROM sc WHERE kind = 't' GROUP BY event_id) SELECT a.event_id, {r('any_value(a.m)', 'train_median')}, {r('any_value(a.p)', 'train_p99')}, {r('any_value(a.x)', 'train_max')}, {r(q(.5, 'score'), 'test_median')}, {r(q(.99, 'score'), 'test_p99')}, {r('max(score)', 'test_max')}, {r('avg(CAST(score > a.p AS DOUBLE))', 'share_above_p99')} FROM etest JOIN a USING (event_id) GROUP BY a.event_id",
+    "rule_episodes": f"WITH {EV_EPISODES} SELECT event_id, asset_id, quantile, episode, start_us, end_us FROM w5",
+    "rule_calibration": f"WITH {EV_SCORES} " + " UNION ALL ".join(f"SELECT CAST(split_part(asset_id, '/', 2) AS INTEGER) AS event_id, split_part(asset_id, '/', 3) AS asset_id, '{name}' AS rule, {r(f'quantile_cont({c}, 0.05)', 'value')} FROM qk WHERE kind = 't' GROUP BY ALL" for name, (_, c) in RULE_COLUMNS.items()),
+    "train_validation": f"WITH {TRAIN}, n AS (SELECT event_id, asset_id, us, row_number() OVER (PARTITION BY event_id, asset_id ORDER BY us) AS i, count(*) OVER (PARTITION BY event_id, asset_id) AS n FROM train) SELECT event_id, asset_id, us, i > n - least(round_even(n * 0.15, 0), n - 1) AS validation FROM n",
+    "fold_history": f"WITH {FOLDS}, {TEL} SELECT f.event_id, t.asset_id, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM tel t JOIN (SELECT f.*, greatest(f.test_end, coalesce((SELECT arg_min(x.x0, x.start_us) FROM ev x WHERE x.start_us > f.event_start_us), de)) AS ext_end FROM fold f, bounds) f ON t.us BETWEEN f.train_start AND f.ext_end GROUP BY ALL",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ForestSettings
+from ..operators.episodes import rank_contributions
 from ..schema import with_fields
 
 
@@ -94,12 +95,13 @@ class IsolationForest:
 
         return rows.mapInPandas(run, with_fields(rows, "score"))
 
-    def contributions(self, rows: DataFrame) -> DataFrame:
-        """Adds c_<feature>: how much the score falls when the feature takes its training median (0 if ablation is off)."""
+    def contributions(self, rows: DataFrame, ablation: bool | None = None) -> DataFrame:
+        """Adds c_<feature>: how much the score falls when the feature takes its training median (0 if ablation, or else
+        the setting, is off)."""
         if self.trees is None:
             raise ValueError("the model is not fitted")
         names = [f"c_{c}" for c in self.contributors]
-        if not self.settings.ablation:
+        if not (self.settings.ablation if ablation is None else ablation):
             return rows.select("*", *(F.lit(0.0).alias(n) for n in names))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,3 +115,12 @@ class IsolationForest:
                 yield f
 
         return rows.mapInPandas(run, with_fields(rows, *names))
+
+    def explain_episode(self, rows: DataFrame, start_us: int, end_us: int, method: str = "mean") -> DataFrame:
+        """(place, contributor, value) by ablation over the rows of [start, end], whatever the setting; raises without any."""
+        rows = rows.where(F.col("us").between(start_us, end_us))
+        if rows.isEmpty():
+            raise ValueError(f"no rows within [{start_us}, {end_us}]")
+        found = self.contributions(rows, True).withColumn("episode", F.lit(1).cast("long"))
+        named = found.select("episode", *(F.col(f"c_{c}").alias(c) for c in self.contributors))
+        return rank_contributions(named, self.contributors, [], method).select("place", "contributor", "value")

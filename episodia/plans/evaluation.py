@@ -198,13 +198,38 @@ def run_forest(p: Plan, interval_us: int, quantiles: Sequence[float] | None = No
         near = sampling.near_gap(history, micros(s.windows.gap), micros(s.windows.window), FOLD).where("gap_adjacent").select(*FOLD, "us")
         test_rows = test_rows.join(near, [*FOLD, "us"], "left_anti")
     names = [f"{c}_{k}" for c in channels for k in s.forest.stats] + [c for c in fit_rows.columns if c.startswith("cycle_")]
-    parts = []
+    parts, models = [], {}
     for f in p.folds:  # a handful of events, each with a model of its own
         mine = lambda df, f=f: df.where(F.col("event_id") == f.event_id)
-        m = IsolationForest(names, s.forest).fit(mine(fit_rows))
+        m = models[f.event_id] = IsolationForest(names, s.forest).fit(mine(fit_rows))
         parts.append([m.score(mine(df)) for df in (test_rows, fit_rows, normal_rows)])
     test, fitted, scored = (_stacked(list(x)) for x in zip(*parts, strict=True))
-    return _results(p, in_test(p, test), fitted, scored, quantiles)
+    out = _results(p, in_test(p, test), fitted, scored, quantiles)
+    flagged = flags(p, in_test(p, test), fitted, quantiles)
+    rows = in_test(p, test_rows)
+    if drop_near_gaps is False:
+        near = sampling.near_gap(history.select(*FOLD, "us"), micros(s.windows.gap), micros(s.windows.window), FOLD)
+        out["gap_share"] = gap_share(flagged.join(near, [*FOLD, "us"]), [*FOLD, "quantile"])
+    return out | {"explanations": explanations(p, models, rows, flagged, out["results"])}
+
+
+def explanations(p: Plan, models: dict[int, IsolationForest], rows: DataFrame, flagged: DataFrame, results: DataFrame, top: int = 5) -> DataFrame:
+    """The top contributors of the early warnings that permutation does not explain, by fold, asset, quantile and episode.
+    Ablation, which is dear, sees the rows of these episodes alone, each once."""
+    v = p.settings.evaluation
+    keys = [*FOLD, "quantile"]
+    eps = episodes.episodes(flagged, keys, episodes.episode_settings(v)[2])
+    wanted = results.where(F.col("detected") & (F.col("p_permutation") < v.chance_threshold)).select(*keys, "width_h").distinct()
+    found = episodes.categorise(eps.join(wanted, keys), episodes.event_table(rows.sparkSession, v.events), episodes.mask_table(rows.sparkSession, v.events, p.settings.split), F.col("width_h"))
+    found = found.where(F.col("category") == episodes.EARLY).select(*keys, "episode", "start_us", "end_us").distinct()
+    spans = found.select(*FOLD, F.col("start_us").alias("__a"), F.col("end_us").alias("__b")).distinct()
+    inside = rows.join(spans, FOLD).where(F.col("us").between(F.col("__a"), F.col("__b"))).drop("start_us", "__a", "__b").dropDuplicates([*FOLD, "us"])
+    parts = []
+    for event, m in models.items():
+        c = m.contributions(inside.where(F.col("event_id") == event), True)
+        parts.append(c.select(*FOLD, "us", *(F.col(f"c_{n}").alias(n) for n in m.contributors)))
+    measured = _stacked(parts).join(found, FOLD).where(F.col("us").between(F.col("start_us"), F.col("end_us"))).drop("start_us", "end_us")
+    return explain(measured, next(iter(models.values())).contributors, keys, top, v.aggregation)
 
 
 def reconstruction(channels: Sequence[str], length: int, s: ReconstructionSettings) -> Reconstruction:

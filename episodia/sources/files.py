@@ -7,8 +7,9 @@ import logging
 import shutil
 import urllib.request
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -90,6 +91,41 @@ def disorder(df: DataFrame, position: str, by: Sequence[str] = ()) -> DataFrame:
     return marked.groupBy(*by).agg(F.sum("late").alias("n_disordered"))
 
 
+def in_file_order(spark: SparkSession, path: str, doubles: Sequence[str], time: str = "timestamp") -> DataFrame:
+    """read_csv() with `file` and `place`, which orders the rows of each file as they stand in it."""
+    rows = read_csv(spark, path, doubles, time)
+    # a split is read in order by one task, and splits of a file are ordered by where they begin
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return rows.select("*", F.col("_metadata.file_path").alias("file"), place.alias("place"))
+
+
+def load_csv(spark: SparkSession, path: str, doubles: Sequence[str], time: str = "timestamp") -> DataFrame:
+    """The rows of CSV files in time order. Warns of rows that are earlier than the one before them in their file, names
+    the columns without any value, and logs the number of rows and the time span."""
+    rows = in_file_order(spark, path, doubles, time)
+    late = disorder(rows, "place", ["file"]).agg(F.sum("n_disordered").alias("n")).first()["n"] or 0
+    rows = rows.drop("file", "place")
+    if late:
+        log.warning("%s: %d rows are earlier than the row before them", path, late)
+    if rows.isEmpty():
+        log.warning("%s has no rows", path)
+        return rows
+    if empty := null_columns(rows):
+        log.warning("%s: no value in %s", path, ", ".join(empty))
+    span = rows.agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    log.info("%s: %d rows, %d columns, %s to %s", path, span["n"], len(rows.columns), span["a"], span["b"])
+    return rows.orderBy("ts")
+
+
+def save_interim(df: DataFrame, path: str) -> None:
+    """Rows with their regimes, for runs that need not label them again."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def load_interim(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def null_columns(df: DataFrame) -> list[str]:
     """Columns without any value."""
     row = df.agg(*(F.count(c).alias(c) for c in df.columns)).first()
@@ -101,6 +137,20 @@ def save_checkpoint(df: DataFrame, path: str, key: str = "event_id") -> None:
     df.write.mode("overwrite").partitionBy(key).parquet(path)
 
 
+def is_done(spark: SparkSession, path: str) -> bool:
+    """Whether a write to path has been committed."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def restartable(spark: SparkSession, path: str, keys: Sequence, compute: Callable[[Any], DataFrame], key: str = "event_id") -> DataFrame:
+    """compute(k) of every key, each written below path on its own; a key that is there already is not computed again."""
+    for k in keys:
+        if not is_done(spark, f"{path}/{key}={k}"):
+            compute(k).drop(key).write.mode("overwrite").parquet(f"{path}/{key}={k}")
+    return load_checkpoint(spark, path, keys, key)
+
+
 def load_checkpoint(spark: SparkSession, path: str, keys: Sequence, key: str = "event_id") -> DataFrame:
     """Read results of all keys; raises if one is missing."""
     out = spark.read.parquet(path)

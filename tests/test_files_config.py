@@ -53,6 +53,33 @@ def test_csv(spark, tmp_path):
     assert files.file_hashes(spark, str(path)).first()["sha256"] == files.sha256(path)
 
 
+def test_loading_sorts_and_warns(spark, tmp_path, caplog):
+    path = tmp_path / "x.csv"
+    path.write_text("Unnamed: 0,timestamp,TP2,H1\n0,2020-01-01 00:00:00,1.5,\n1,2020-01-01 00:02:00,2,\n2,2020-01-01 00:01:00,3,\n")
+    with caplog.at_level("INFO"):
+        got = files.load_csv(spark, str(path), ["TP2", "H1"])
+    assert [r["TP2"] for r in got.collect()] == [1.5, 3.0, 2.0] and got.columns == ["ts", "TP2", "H1"]
+    text = caplog.text
+    assert "1 rows are earlier" in text and "no value in H1" in text and "3 rows, 3 columns" in text
+    files.save_interim(got, str(tmp_path / "i"))
+    assert files.load_interim(spark, str(tmp_path / "i")).count() == 3
+
+
+def test_restartable(spark, tmp_path):
+    made = []
+
+    def compute(k):
+        made.append(k)
+        if k == 3 and made.count(3) == 1:
+            raise RuntimeError("stopped")
+        return spark.createDataFrame([(k, float(k))], "event_id int, x double")
+
+    with pytest.raises(RuntimeError):
+        files.restartable(spark, str(tmp_path / "r"), [1, 2, 3], compute)
+    got = files.restartable(spark, str(tmp_path / "r"), [1, 2, 3], compute)
+    assert made == [1, 2, 3, 3] and sorted((r["event_id"], r["x"]) for r in got.collect()) == [(1, 1.0), (2, 2.0), (3, 3.0)]
+
+
 def test_checkpoints(spark, tmp_path):
     df = spark.createDataFrame([(1, 2.0), (2, 3.0)], "event_id int, x double")
     files.save_checkpoint(df, str(tmp_path / "c"))

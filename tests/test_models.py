@@ -30,6 +30,15 @@ def test_forest_ablation_names_the_odd_feature(spark):
     assert off.contributions(cloud(spark, 3)).first()["c_a"] == 0.0
 
 
+def test_one_episode_is_explained(spark):
+    m = IsolationForest(["a", "b"], ForestSettings(trees=50)).fit(cloud(spark))
+    rows = frame(spark, [(0, 0.0, 0.0), (1, 9.0, 0.0), (2, 9.0, 0.1), (3, 0.0, 0.0)], "a double, b double")
+    got = m.explain_episode(rows, T0 + 1_000_000, T0 + 2_000_000).orderBy("place").collect()
+    assert [r["contributor"] for r in got] == ["a", "b"] and got[0]["value"] > got[1]["value"]
+    with pytest.raises(ValueError, match="no rows"):
+        m.explain_episode(rows, T0 + 10_000_000, T0 + 20_000_000)
+
+
 def test_forest_fills_missing_with_training_medians(spark):
     m = IsolationForest(["a", "b"], ForestSettings(trees=10)).fit(cloud(spark))
     assert 0 < m.score(frame(spark, [(0, None, None)], "a double, b double")).first()["score"] < 0.6

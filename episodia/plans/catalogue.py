@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -479,6 +480,61 @@ def fold_history(spark, d):
     return folds.fold_rows(telemetry(spark, d), folds.fold_table(spark, long)).groupBy(*evaluation.FOLD).agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
 
 
+# --- further parts of the evaluations ---------------------------------------
+
+
+@query
+def since_change(spark, d):
+    return ordered.since_change(labelled(spark, d), "regime", "held_us").select("asset_id", "us", "held_us")
+
+
+@query
+def plain_scaled_rows(spark, d):
+    t = telemetry(spark, d)
+    scaler = scaling.fit(t, ["value"], "robust", ["asset_id"])
+    return rounded(scaling.transform(t, scaler, ["value"], FLAGS, ["asset_id"]).select("asset_id", "us", "value", "is_click"))
+
+
+@query
+def amplifying_scalers(spark, d):
+    s = replace(SCALING, warn_factor=0.02)
+    return rounded(scaling.amplifying(scaling.fit_by_regime(labelled(spark, d), s, ["asset_id"]), s).select("asset_id", "regime", "channel", "scale"))
+
+
+@query
+def episode_overview(spark, d):
+    rows = flagged(spark, d)
+    ranked = episodes.rank_contributions(rows, [*FLAGS, "score"], ["asset_id"])
+    return rounded(evaluation.episode_summary(episodes.episodes(rows, ["asset_id"]), ranked, 30.0, ["asset_id"]))
+
+
+@query
+def top_contributors(spark, d):
+    return rounded(evaluation.explain(flagged(spark, d), [*FLAGS, "score"], ["asset_id"], 2, "max").select("asset_id", "episode", "contributor", "value", "place"))
+
+
+@query
+def gap_shares(spark, d):
+    rows = flagged(spark, d)
+    near = sampling.near_gap(rows, 2 * P.HOUR, 3 * P.HOUR)
+    return rounded(evaluation.gap_share(near, ["asset_id"]))
+
+
+@query
+def windows_off_gaps(spark, d):
+    t = telemetry(spark, d)
+    near = sampling.near_gap(t, 2 * P.HOUR, 3 * P.HOUR).where("gap_adjacent").select("asset_id", "us")
+    w = sampling.windows(t, P.LENGTH, P.STRIDE, P.INTERVAL_US, P.TOLERANCE, ["value"])
+    return w.select("asset_id", "us").join(near, ["asset_id", "us"], "left_anti")
+
+
+@query
+def feature_matrix(spark, d):
+    rows = labelled(spark, d).withColumn("__raw", F.col("value"))
+    out = evaluation.windowed_rows(rows, P.SETTINGS, P.INTERVAL_US, "train", ["asset_id"], ["value"], True)
+    return rounded(out.select("asset_id", "us", "value_mean", "value_max", "cycle_stopped_duration_last", "cycle_duty_ratio_trailing", "cycle_stopped_duration_last_rel_baseline"), 4)
+
+
 # --- exploration ------------------------------------------------------------
 
 

@@ -312,4 +312,12 @@ ORACLE_SQL: dict[str, str] = {
     "rule_calibration": f"WITH {EV_SCORES} " + " UNION ALL ".join(f"SELECT CAST(split_part(asset_id, '/', 2) AS INTEGER) AS event_id, split_part(asset_id, '/', 3) AS asset_id, '{name}' AS rule, {r(f'quantile_cont({c}, 0.05)', 'value')} FROM qk WHERE kind = 't' GROUP BY ALL" for name, (_, c) in RULE_COLUMNS.items()),
     "train_validation": f"WITH {TRAIN}, n AS (SELECT event_id, asset_id, us, row_number() OVER (PARTITION BY event_id, asset_id ORDER BY us) AS i, count(*) OVER (PARTITION BY event_id, asset_id) AS n FROM train) SELECT event_id, asset_id, us, i > n - least(round_even(n * 0.15, 0), n - 1) AS validation FROM n",
     "fold_history": f"WITH {FOLDS}, {TEL} SELECT f.event_id, t.asset_id, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM tel t JOIN (SELECT f.*, greatest(f.test_end, coalesce((SELECT arg_min(x.x0, x.start_us) FROM ev x WHERE x.start_us > f.event_start_us), de)) AS ext_end FROM fold f, bounds) f ON t.us BETWEEN f.train_start AND f.ext_end GROUP BY ALL",
+    "since_change": f"WITH {REG}, c AS (SELECT *, CASE WHEN lag(regime) OVER ({BY}) IS DISTINCT FROM regime THEN us END AS c FROM reg) SELECT asset_id, us, us - last_value(c IGNORE NULLS) OVER ({BY} {SO_FAR}) AS held_us FROM c",
+    "plain_scaled_rows": f"WITH {TEL}, s AS (SELECT asset_id, {q(.5)} AS c, {q(.75)} - {q(.25)} AS s FROM tel GROUP BY asset_id) SELECT asset_id, us, {r('(value - c) / CASE WHEN abs(s) < 1e-8 THEN 1.0 ELSE s END', 'value')}, {r('is_click', 'is_click')} FROM tel JOIN s USING (asset_id)",
+    "amplifying_scalers": f"WITH {REG}, s AS (SELECT asset_id, regime, {q(.75)} - {q(.25)} AS i FROM reg GROUP BY ALL), t AS (SELECT asset_id, regime, CASE WHEN abs(i) < 1e-8 THEN 1.0 ELSE i END AS scale FROM s) SELECT asset_id, regime, 'value' AS channel, {r('scale', 'scale')} FROM t WHERE {ACTIVE} AND 1 / scale > 0.02",
+    "episode_overview": f"WITH {SCORED}, {flagged('scored', 'asset_id', str(P.SCORE_THRESHOLD))}, m AS (SELECT e.asset_id, e.episode, s.* EXCLUDE (asset_id) FROM e5 e JOIN scored s ON s.asset_id = e.asset_id AND s.us BETWEEN e.start_us AND e.end_us), l AS (" + " UNION ALL ".join(f"SELECT asset_id, episode, '{c}' AS contributor, avg({c}) AS v FROM m GROUP BY ALL" for c in ("is_click", "is_error", "is_view", "score")) + f"), k AS (SELECT *, row_number() OVER (PARTITION BY asset_id, episode ORDER BY v DESC, contributor) AS place FROM l), g AS (SELECT asset_id, episode, count(*) FILTER (v > 0.5) AS strong, any_value(contributor) FILTER (place = 1) AS top FROM k GROUP BY ALL), x AS (SELECT asset_id, episode, max(score) AS peak FROM m GROUP BY ALL), t AS (SELECT asset_id, top FROM (SELECT asset_id, top, count(*) AS n FROM g GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY n DESC, top) = 1) SELECT x.asset_id, {r('count(*) / 30.0', 'per_day')}, {r('avg(peak)', 'mean_peak')}, {r('max(peak)', 'max_peak')}, {r('avg(strong)', 'mean_strong')}, any_value(t.top) AS top FROM x JOIN g USING (asset_id, episode) JOIN t USING (asset_id) GROUP BY x.asset_id",
+    "top_contributors": f"WITH {SCORED}, {flagged('scored', 'asset_id', str(P.SCORE_THRESHOLD))}, m AS (SELECT e.asset_id, e.episode, s.* EXCLUDE (asset_id) FROM e5 e JOIN scored s ON s.asset_id = e.asset_id AND s.us BETWEEN e.start_us AND e.end_us), l AS (" + " UNION ALL ".join(f"SELECT asset_id, episode, '{c}' AS contributor, max({c}) AS v FROM m GROUP BY ALL" for c in ("is_click", "is_error", "is_view", "score")) + f") SELECT asset_id, episode, contributor, {r('v', 'value')}, CAST(row_number() OVER w AS INTEGER) AS place FROM l WINDOW w AS (PARTITION BY asset_id, episode ORDER BY v DESC, contributor) QUALIFY row_number() OVER w <= 2",
+    "gap_shares": f"WITH {SCORED}, {flagged('scored', 'asset_id', str(P.SCORE_THRESHOLD))}, g AS (SELECT asset_id, s, us AS e FROM (SELECT asset_id, us, lag(us) OVER ({BY}) AS s FROM tel) WHERE us - s > {2 * P.HOUR}), a AS (SELECT asset_id, us, CAST(EXISTS (SELECT 1 FROM g WHERE g.asset_id = t.asset_id AND (abs(t.us - g.s) <= {3 * P.HOUR} OR abs(t.us - g.e) <= {3 * P.HOUR})) AS DOUBLE) AS near FROM tel t) SELECT asset_id, CAST(NULL AS BIGINT) AS episode, {r('avg(near)', 'share')} FROM a GROUP BY asset_id UNION ALL SELECT e.asset_id, e.episode, {r('avg(near)', 'share')} FROM e5 e JOIN a ON a.asset_id = e.asset_id AND a.us BETWEEN e.start_us AND e.end_us GROUP BY e.asset_id, e.episode",
+    "windows_off_gaps": f"WITH {TEL}, {WIN}, g AS (SELECT asset_id, s, us AS e FROM (SELECT asset_id, us, lag(us) OVER ({BY}) AS s FROM tel) WHERE us - s > {2 * P.HOUR}) SELECT asset_id, us FROM win t WHERE {WIN_OK} AND NOT EXISTS (SELECT 1 FROM g WHERE g.asset_id = t.asset_id AND (abs(t.us - g.s) <= {3 * P.HOUR} OR abs(t.us - g.e) <= {3 * P.HOUR}))",
+    "feature_matrix": f"WITH {FEATURES}, {WIN}, m AS (SELECT *, {_med('stopped_duration_last')} AS b1 FROM feat) SELECT w.asset_id, w.us, {r('w.m', 'value_mean', 4)}, {r('CAST(w.hi AS DOUBLE)', 'value_max', 4)}, {r('m.stopped_duration_last', 'cycle_stopped_duration_last', 4)}, {r('m.duty_ratio_trailing', 'cycle_duty_ratio_trailing', 4)}, {r(ratio('m.stopped_duration_last', 'm.b1'), 'cycle_stopped_duration_last_rel_baseline', 4)} FROM win w JOIN m USING (asset_id, us) WHERE {WIN_OK}",
 }

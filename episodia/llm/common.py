@@ -109,30 +109,65 @@ def bounded_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < int((1 << 30) * (rows / total)))
 
 
-#: Bits of the bitmap of hashed keys that joins() sends to all tasks: at most 8 MB as rows, however many keys there are.
+#: Bits of a bitmap of hashed keys that _marked() sends to all tasks: at most 2**BITMAP_BITS / 64 rows, however many keys there are.
 BITMAP_BITS = 25
 
 
-def _maybe(docs: DataFrame, key: list[Column], others: DataFrame, other_key: list[Column]) -> DataFrame:
-    """docs with __maybe: false where no row of others can have the same key. Equal keys share a bit; the bits are broadcast."""
+def _unused(df: DataFrame, name: str) -> str:
+    """The name, drawn out until no column begins with it."""
+    while any(c.startswith(name) for c in df.columns):
+        name += "_"
+    return name
+
+
+def _marked(docs: DataFrame, key: list[Column], others: DataFrame, other_key: list[Column]) -> tuple[DataFrame, str]:
+    """docs with a further column, and its name: false where no row of others can have the same key. Equal keys share a bit
+    of a bitmap, which is broadcast."""
+    tag = _unused(docs, "__bitmap")
     spot = lambda k: F.pmod(F.xxhash64(*k), F.lit(1 << BITMAP_BITS))
-    bits = others.select(spot(other_key).alias("s")).groupBy(F.shiftright("s", 6).alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 AS int)))").alias("__bits"))
-    marked = docs.withColumn("__spot", spot(key)).withColumn("__word", F.shiftright("__spot", 6)).join(F.broadcast(bits), "__word", "left")
-    found = F.expr("coalesce(shiftrightunsigned(__bits, cast(__spot & 63 AS int)) & 1, 0) = 1")
-    return marked.withColumn("__maybe", found).select(*docs.columns, "__maybe")
+    bits = others.select(spot(other_key).alias("s")).groupBy(F.shiftright("s", 6).alias(f"{tag}word")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 AS int)))").alias(f"{tag}bits"))
+    marked = docs.withColumn(f"{tag}spot", spot(key)).withColumn(f"{tag}word", F.shiftright(f"{tag}spot", 6)).join(F.broadcast(bits), f"{tag}word", "left")
+    found = F.expr(f"coalesce(shiftrightunsigned({tag}bits, cast({tag}spot & 63 AS int)) & 1, 0) = 1")
+    return marked.withColumn(tag, found).select(*docs.columns, tag), tag
+
+
+def _parted(docs: DataFrame, key: list[Column], ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs in three parts by their key's place in ids (k0, k1, ..): surely in, to be looked up, surely not in.
+
+    A first bitmap holds the ids; the keys of docs that it lets through wrongly are found by a join of keys alone and make a
+    second one. To be looked up is only what both let through, so texts are hardly shuffled while the ids are few against
+    the bitmap's size, and all of them are looked up, as in a plain join, when they are very many."""
+    names = [f"k{i}" for i in range(len(key))]
+    own = [F.col(n) for n in names]
+    keys, maybe = _marked(docs.select(*(k.alias(n) for k, n in zip(key, names, strict=True))), own, ids, own)
+    wrong = _joined(keys.where(maybe).drop(maybe), own, ids, "left_anti")
+    marked, one = _marked(docs, key, ids, own)
+    marked, two = _marked(marked, key, wrong, own)
+    part = lambda x: marked.where(x).select(*docs.columns)
+    return part(F.col(one) & ~F.col(two)), part(F.col(one) & F.col(two)), part(~F.col(one))
+
+
+def _joined(docs: DataFrame, key: list[Column], ids: DataFrame, how: str) -> DataFrame:
+    name = _unused(docs, "__id")
+    ids = ids.select(*(F.col(f"k{i}").alias(f"{name}{i}") for i in range(len(key))))
+    return docs.join(ids, [k.eqNullSafe(F.col(f"{name}{i}")) for i, k in enumerate(key)], how)
+
+
+def semi_joined(docs: DataFrame, key: list[Column], ids: DataFrame) -> DataFrame:
+    """The rows of docs whose key, which may have nulls, is in ids (k0, k1, ..)."""
+    sure, doubtful, _ = _parted(docs, key, ids)
+    return sure.unionByName(_joined(doubtful, key, ids, "left_semi"))
 
 
-def semi_joined(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids (doc_id; not null). Only rows that may match are shuffled, not all texts."""
-    return _maybe(docs, [F.col("doc_id")], ids, [F.col("doc_id")]).where("__maybe").drop("__maybe").join(ids, "doc_id", "left_semi")
+def anti_joined(docs: DataFrame, key: list[Column], ids: DataFrame) -> DataFrame:
+    """The rows of docs whose key, which may have nulls, is not in ids (k0, k1, ..)."""
+    _, doubtful, clear = _parted(docs, key, ids)
+    return clear.unionByName(_joined(doubtful, key, ids, "left_anti"))
 
 
-def anti_joined(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows of gone (__id, which may be null, and __hash, of the text). Only rows that may match are shuffled."""
-    marked = _maybe(docs, [F.col("doc_id").cast("long"), F.xxhash64("text")], gone, [F.col("__id"), F.col("__hash")])
-    rest = marked.where("__maybe")
-    rest = rest.join(gone, rest["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(rest["text"]) == gone["__hash"]), "left_anti")
-    return marked.where("not __maybe").unionByName(rest).select(*docs.columns)
+def id_and_text() -> list[Column]:
+    """What tells documents apart: the id and a hash of the text."""
+    return [F.col("doc_id").cast("long"), F.xxhash64("text")]
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:

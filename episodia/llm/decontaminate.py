@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import pieces, table, written
+from .common import anti_joined, id_and_text, pieces, table, written
 
 WINDOW = 13
 SHARD_BYTES = 2_000_000
@@ -305,8 +305,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, all columns."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(docs["text"]) == bad["__hash"]), "left_anti")
+    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("k0"), F.col("text_hash").alias("k1")).distinct()
+    return anti_joined(docs, id_and_text(), written(bad, "contaminated"))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

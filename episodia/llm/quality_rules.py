@@ -9,8 +9,10 @@ no random part.
 
 Defined results: a null or empty text has no words, so base_failed; a text
 shorter than an n-gram scores 0; without trusted documents all scores are 0;
-repeated rows and null ids are judged one by one, on their own text; an empty
-table gives an empty result; other columns are carried or ignored.
+repeated rows and null ids are judged one by one, on their own text; a score
+equal to the threshold passes; a very long text is read whole, in a slice of its
+own; an id with several labels is trusted if one of them is; an empty table gives
+an empty result; other columns are carried or ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import table
+from .common import semi_joined, table
 from .textstats import base_counts
 
 N_GRAM = 4
@@ -73,8 +75,8 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
 
 def fit_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log p_trusted - log p_raw of every bucket: N_BUCKETS numbers, counted over all rows and all trusted rows."""
-    trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id")
-    good = bucket_counts(docs.select("doc_id", "text").join(trusted, "doc_id", "left_semi"))
+    trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("k0"))
+    good = bucket_counts(semi_joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), [F.col("doc_id")], trusted))
     if not good.sum():
         return np.zeros(N_BUCKETS)
     raw = bucket_counts(docs)

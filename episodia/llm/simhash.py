@@ -8,14 +8,16 @@ programming on the candidate counts that the block histograms estimate: any two
 fingerprints within RADIUS then agree within t_i on some part i, so probing the
 index with every value within t_i finds every link. Candidates meet in a bucket
 (part, value), are verified there, and leave it as one spanning forest for each
-bucket, so a dense bucket never emits all its pairs. Components come from
+bucket, so a dense bucket never emits all its pairs; one that the histograms say
+may be large is split by the bits outside its part. Components come from
 alternating large-star and small-star rounds.
 
 Defined results: a null or empty text, or one without words, has fingerprint
 zero and links like any other; copies share a fingerprint and are expanded by a
 join only at the end; a null doc_id never names a component unless all ids in
-it are null; repeated rows give repeated results; an empty table gives none;
-other columns are ignored by the search and kept by `keep_one`.
+it are null; repeated rows give repeated results; of a component's rows of the
+smallest id `keep_one` keeps the one of the smallest text hash; a very long text is
+hashed whole, in a slice of its own; an empty table gives none; other columns are ignored by the search and kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -30,13 +32,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import settled, table, written
+from .common import anti_joined, id_and_text, settled, table, written
 
 RADIUS = 3
 SHINGLE = 3
 BLOCKS, BLOCK_BITS = 4, 16
 #: Cost of a probe row against that of one verified candidate.
 PROBE_COST, CANDIDATE_COST = 8.0, 1.0
+#: A bucket that may hold more rows is split: two fingerprints that differ in RADIUS bits at most agree on one of
+#: RADIUS + 1 pieces of the bits outside the bucket's part, so its rows go to a bucket for each piece instead.
+HOT_ROWS = 50_000
 
 
 def shingle_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,6 +207,19 @@ def allocate(counts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return out - 1, best[:, budget]
 
 
+def pieces_outside(fps: np.ndarray, groups: list[list[int]], part: int, parts: int) -> list[np.ndarray]:
+    """The values of the RADIUS + 1 pieces of the bits that are not in the part."""
+    each = BLOCKS // parts
+    bits = [bit for b, own in enumerate(groups) if not part * each <= b < (part + 1) * each for bit in own]
+    out = []
+    for k in range(RADIUS + 1):
+        value = np.zeros(len(fps), dtype=np.int64)
+        for i, bit in enumerate(bits[k :: RADIUS + 1]):
+            value |= ((fps >> np.uint64(bit)) & np.uint64(1)).astype(np.int64) << i
+        out.append(value)
+    return out
+
+
 def masks(bits: int, within: int) -> np.ndarray:
     return np.array([sum(1 << k for k in c) for d in range(within + 1) for c in combinations(range(bits), d)], dtype=np.int64)
 
@@ -210,6 +228,22 @@ def probes(nodes: DataFrame, groups: list[list[int]], shares: np.ndarray, parts:
     """(part, key, fp): each fingerprint under its own value of each part, and under the values within its thresholds."""
     bits = 64 // parts
     each = BLOCKS // parts
+    # by value of each block, whether its buckets may hold more than HOT_ROWS (at most all rows within RADIUS of it)
+    crowded = [shares[b].sum(axis=0) * n > HOT_ROWS for b in range(BLOCKS)]
+    piece_bits = (64 - bits) // (RADIUS + 1)
+
+    def dealt(p: int, keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        """Rows of part p. Its whole buckets are part p * (RADIUS + 2); the pieces of split ones are numbered from there on."""
+        hot = np.ones(len(keys), dtype=bool)
+        for b in range(each):
+            hot &= crowded[p * each + b][(keys >> (BLOCK_BITS * b)) & ((1 << BLOCK_BITS) - 1)]
+        number, key, fp = [np.full(len(keys) - int(hot.sum()), p * (RADIUS + 2))], [keys[~hot]], [fps[~hot]]
+        if hot.any():
+            for k, value in enumerate(pieces_outside(fps[hot], groups, p, parts)):
+                number.append(np.full(len(value), p * (RADIUS + 2) + 1 + k))
+                key.append((keys[hot] << piece_bits) | value)
+                fp.append(fps[hot])
+        return pa.record_batch([pa.array(np.concatenate(number), pa.int32()), pa.array(np.concatenate(key)), pa.array(np.concatenate(fp).view(np.int64))], names=["part", "key", "fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,8 +257,7 @@ def probes(nodes: DataFrame, groups: list[list[int]], shares: np.ndarray, parts:
                         at = np.flatnonzero(np.maximum(limits[:, p], 0) == t)
                         flips = masks(bits, t)
                         for part in np.array_split(at, max(1, len(at) * len(flips) // 500_000)):
-                            keys = (own[part][:, None] ^ flips[None, :]).ravel()
-                            yield pa.record_batch([pa.array(np.full(len(keys), p), pa.int32()), pa.array(keys), pa.array(np.repeat(fps[part], len(flips)).view(np.int64))], names=["part", "key", "fp"])
+                            yield dealt(p, (own[part][:, None] ^ flips[None, :]).ravel(), np.repeat(fps[part], len(flips)))
 
     return nodes.select("fp").mapInArrow(run, "part int, key long, fp long")
 
@@ -246,11 +279,27 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | N
 
 
 def bucket_forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fp, root) that span the link graph of one bucket's distinct fingerprints. Memory is bounded by tiles."""
+    """Links (fp, root) that span the link graph of one bucket's distinct fingerprints. Memory is bounded by tiles.
+
+    Neighbours in a few rotated orders are linked first; items then stand by component, and two tiles that lie in one
+    component are not compared, so a dense bucket costs little more than its sorts."""
     fps = np.unique(fps)
     label, step = np.arange(len(fps)), 1024
+    if len(fps) > step:
+        for turn in range(0, 64, 8):
+            turned = (fps << np.uint64(turn)) | (fps >> np.uint64(64 - turn)) if turn else fps
+            order = np.argsort(turned)
+            for d in (1, 2, 3):
+                a, b = order[:-d], order[d:]
+                near = np.bitwise_count(fps[a] ^ fps[b]) <= RADIUS
+                label = local_components(len(fps), a[near], b[near], label)
+        order = np.argsort(label, kind="stable")
+        fps, label = fps[order], label[order]
+        label = np.searchsorted(label, label)
     for i in range(0, len(fps), step):
         for j in range(i, len(fps), step):
+            if (label[i : i + step] == label[i]).all() and (label[j : j + step] == label[i]).all():
+                continue
             near = np.bitwise_count(fps[i : i + step, None] ^ fps[None, j : j + step]) <= RADIUS
             a, b = np.nonzero(near)
             keep = label[a + i] != label[b + j]
@@ -353,8 +402,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, that of the smallest id (a null id last), with all columns; of repeated rows one."""
     found = written(near_duplicates(docs), "components")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
-    kept = found.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]) & (F.xxhash64(docs["text"]) == kept["__hash"]), "left_semi")
+    kept = found.groupBy("root").agg(first.alias("k"))
+    others = found.join(kept, "root").where(~(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_hash") == F.col("k.text_hash"))))
+    out = anti_joined(docs, id_and_text(), written(others.select(F.col("doc_id").alias("k0"), F.col("text_hash").alias("k1")).distinct(), "near-copies"))
     repeated = found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out
 

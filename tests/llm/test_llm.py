@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from episodia.llm import decontaminate, exchange, language_id, mixing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, textkit, textstats, warc
+from episodia.llm import common, decontaminate, exchange, language_id, mixing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, textkit, textstats, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{i}" for i in range(400)]
@@ -183,8 +183,9 @@ def test_simhash_equals_brute_force(spark):
     assert kept == sorted(set(want))
 
 
-@pytest.mark.parametrize("parts", [4, 2])
-def test_probing_misses_no_link(spark, parts):
+@pytest.mark.parametrize(("parts", "hot"), [(4, 50_000), (2, 50_000), (4, 20), (2, 3)])
+def test_probing_misses_no_link(spark, monkeypatch, parts, hot):
+    monkeypatch.setattr(simhash, "HOT_ROWS", hot)
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 40, dtype=np.int64)
     fps = [int(b) ^ sum(1 << int(k) for k in rng.choice(62, d, replace=False)) for b in base for d in (0, 1, 2, 3, 4)]
@@ -213,6 +214,19 @@ def test_bucket_forest_spans(spark):
     assert len(a) < len(fps) and len(set(label.tolist())) == len(set(brute_components(list(range(len(fps))), fps.tolist())))
 
 
+def test_dense_buckets_are_linked_whole():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 6).astype(np.uint64)
+    fps = np.unique(np.concatenate([b ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (700, 3)).astype(np.uint64), axis=1) for b in base]))
+    assert len(fps) > 3 * 1024
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= simhash.RADIUS
+    a, b = np.nonzero(np.triu(near, 1))
+    want = simhash.local_components(len(fps), a, b)
+    u, v = simhash.bucket_forest(fps)
+    got = simhash.local_components(len(fps), np.searchsorted(fps, u), np.searchsorted(fps, v))
+    assert got.tolist() == want.tolist() and (np.bitwise_count(u ^ v) > 64).sum() == 0
+
+
 def test_simhash_edges(spark):
     texts = near_copies()
     df = doubled(spark, texts)
@@ -376,6 +390,58 @@ def test_compiled_rules_equal_their_truth(spark):
     assert np.allclose(got, 1 / (1 + np.exp(-want)))
 
 
+def test_lasso_equals_a_plain_solver():
+    rng = np.random.default_rng(4)
+    z = (rng.random((200, 12)) < 0.4).astype(float)
+    y = (z[:, 0] + z[:, 1] - z[:, 2] + rng.normal(size=200) > 0.5).astype(float)
+    penalty = 0.02
+    b, w = 0.0, np.zeros(12)
+    for _ in range(3000):  # cyclic coordinate steps on a quadratic bound of the loss
+        p = 1 / (1 + np.exp(-(b + z @ w)))
+        b -= 4 * (p - y).mean()
+        for k in range(12):
+            p = 1 / (1 + np.exp(-(b + z @ w)))
+            curve = max((z[:, k] ** 2).mean() / 4, 1e-9)
+            u = w[k] - (z[:, k] * (p - y)).mean() / curve
+            w[k] = np.sign(u) * max(abs(u) - penalty / curve, 0)
+    got_b, got_w = quality_classifier.lasso_logistic(z, y, penalty)
+    assert abs(got_b - b) < 1e-3 and np.allclose(got_w, w, atol=1e-3) and (np.abs(w) < 1e-9).any()
+
+
+def test_texts_longer_than_a_slice(spark):
+    rng = random.Random(40)
+    passage, item = prose(rng, 400), prose(rng, 30)
+    long = " ".join([passage] * 700) + f" {item} " + prose(rng, 1000)
+    assert len(long) > 1.1 * textkit.SLICE_BYTES
+    texts = ["short one", long, None, passage + " end"]
+    df = table(spark, texts)
+    counts = textstats.base_counts(*textkit.buffers(pa.array(texts)))
+    assert list(zip(*(counts[c].tolist() for c in quality_rules.COUNTS)))[1] == brute_counts(long)
+    assert [r["fp"] & (2**64 - 1) for r in simhash.fingerprints(df).orderBy("doc_id").collect()] == [brute_fingerprint(t) for t in texts]
+    got = decontaminate.contamination(df, spark.createDataFrame([("a", item)], "item_id string, text string")).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_hit"], r["items"]) for r in got] == decontaminate.brute_contamination(texts, [("a", item)])
+    labels = spark.createDataFrame([(0, 0, 0), (1, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {r["doc_id"]: r["n_words"] for r in quality_rules.quality_verdicts(df, labels).collect()}[1] == len(long.split())
+    assert {r["doc_id"]: r["n_tokens"] for r in mixing.rates(df, labels).collect()}[1] == len(long.split())
+    assert quality_classifier.scored(df, labels).count() == 4 and {r["size"] for r in sharding.sharded(df).collect()} == {len(t or "") + 1 for t in texts}
+    model = language_id.learn(df)
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identified(df, model).collect()} == {0: "en", 1: "en", 2: "und", 3: "en"}
+
+
+@pytest.mark.parametrize("bits", [25, 8])
+def test_joins_pick_exactly_what_matches(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "BITMAP_BITS", bits)
+    df = doubled(spark, corpus(22, 300)).withColumn("k0", F.lit(5)).withColumn("__bitmapword", F.lit(6))
+    gone = df.where("doc_id % 3 = 0 or doc_id is null").select(F.col("doc_id").alias("k0"), F.xxhash64("text").alias("k1")).distinct()
+    for join, want in ((common.anti_joined, "doc_id % 3 <> 0"), (common.semi_joined, "doc_id % 3 = 0 or doc_id is null")):
+        got = join(df, common.id_and_text(), gone)
+        assert got.columns == df.columns and got.where("k0 <> 5 or __bitmapword <> 6").count() == 0
+        rows = lambda x: Counter((r["doc_id"], r["text"]) for r in x.collect())
+        assert rows(got) == rows(df.where(want))
+    ids = spark.range(7).select(F.col("id").alias("k0"))
+    assert sorted(r["doc_id"] for r in common.semi_joined(df.drop("k0"), [F.col("doc_id")], ids).collect()) == sorted(r["doc_id"] for r in df.where("doc_id < 7").collect())
+
+
 def test_every_trusted_document_counts(spark):
     rng = random.Random(15)
     texts = [f"{rng.choice(WORDS)} {i}" for i in range(25_000)]
@@ -439,6 +505,55 @@ def test_language_tables_hold_every_gram(spark):
     assert rare[3] == rare[4] == rare[5] == "de" and rare[0] == "en"
 
 
+def counted_kneser_ney(texts):
+    """log p(last character | the three before) by the textbook's counts."""
+    plain = [" ".join(re.sub(r"[^a-z]+", " ", t.lower()).split()) for t in texts]
+    levels = {4: Counter(x[i : i + 4] for t in plain for x in [f"   {t} "] for i in range(len(x) - 3))}
+    for n in (3, 2, 1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    discount = {}
+    for n, level in levels.items():
+        ones, twos = (sum(v == k for v in level.values()) for k in (1, 2))
+        discount[n] = ones / (ones + 2 * twos) if ones and twos else 0.5
+    after = {n: defaultdict(list) for n in levels}
+    for n, level in levels.items():
+        for g, v in level.items():
+            after[n][g[:-1]].append(v)
+    alphabet = len(levels[1]) + 1
+
+    def p(gram):
+        n = len(gram)
+        if not n:
+            return 1 / alphabet
+        seen = after[n].get(gram[:-1])
+        if not seen:
+            return p(gram[1:])
+        return max(levels[n].get(gram, 0) - discount[n], 0) / sum(seen) + discount[n] * len(seen) / sum(seen) * p(gram[1:])
+
+    return lambda gram: np.log(p(gram))
+
+
+def test_models_equal_counted_kneser_ney(spark):
+    rng = random.Random(31)
+    words = ["the", "then", "than", "cat", "cart", "rat", "ran", "mat", "on", "one"]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(6)]
+    log_p = counted_kneser_ney(texts)
+    model = language_id.learn(table(spark, texts))
+    probes = ["the cat ran on a mat", "xyz the qrt", "one", "Cart-cart!"]
+    got = {r["key"]: r for r in language_id.entropies(table(spark, probes).select("doc_id", "text"), model).collect()}
+    for i, t in enumerate(probes):
+        x = f"   {' '.join(re.sub(r'[^a-z]+', ' ', t.lower()).split())} "
+        want = -np.mean([log_p(x[k : k + 4]) for k in range(len(x) - 3)])
+        assert abs(got[i]["entropy"][0] - want) < 1e-5
+
+
+def test_letters_beyond_the_basic_plane(spark):
+    train = table(spark, ["𐐨𐐩𐐪 𐐫𐐬𐐭 " * 20], 0, "aa").unionByName(table(spark, ["𐒰𐒱𐒲 𐒳𐒴𐒵 " * 20], 10, "bb"))
+    model = language_id.learn(train)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identified(table(spark, ["𐐨𐐩𐐪 𐐫𐐬𐐭", "𐒰𐒱𐒲 𐒳𐒴𐒵"]).withColumn("score", F.lit(1)).withColumn("key", F.lit(2)), model).collect()}
+    assert got == {0: "aa", 1: "bb"}
+
+
 # --- op2 --------------------------------------------------------------------
 
 

@@ -1,13 +1,17 @@
 """The pipeline against its stages' definitions, and the entry points."""
 
 import hashlib
+import math
 import random
+import zlib
+from collections import Counter, defaultdict
 
 import corpus_pipeline
-from test_llm import SCHEMA, brute_components, brute_fingerprint, labelled, prose
+from pyspark.sql import functions as F
+from test_llm import SCHEMA, brute_components, brute_fingerprint, brute_minimax, labelled, prose
 
 import __spark_entry__
-from episodia.llm import decontaminate
+from episodia.llm import decontaminate, mixing
 
 
 def write(spark, path, texts, labels, items):
@@ -34,10 +38,45 @@ def test_pipeline(spark, tmp_path):
     want = {i for i in set(parts) if not _dirty(texts[i], item)}
     assert {r["doc_id"] for r in docs.collect()} == want
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r["doc_id"] for r in got} <= want and len({r["doc_id"] for r in got}) >= 0.9 * len(want)
+    # mixing: each document as often as its rate and its hash say
+    scored = mixing.rates(docs, labels).select("doc_id", "rate")
+    unit = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)) / float(1 << 32)
+    copies = {r["doc_id"]: math.floor(r["rate"] + r["u"]) for r in docs.join(scored, "doc_id").select("doc_id", "rate", unit.alias("u")).collect()}
+    assert Counter(r["doc_id"] for r in got) == Counter(copies)
+    # sharding: whole groups of equal texts, the least capacity, slots without gaps
+    groups, totals, slots = Counter(), Counter(), defaultdict(list)
+    for r in got:
+        size = len(texts[r["doc_id"]].encode()) + 1
+        assert r["size"] == size and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode())
+        groups[hashlib.md5(texts[r["doc_id"]].encode()).hexdigest()] += size
+        totals[r["shard"]] += size
+        slots[r["shard"]].append(r["slot"])
+    assert max(totals.values()) == brute_minimax([v for _, v in sorted(groups.items())], 8)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
     assert set(got[0].asDict()) == {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}
 
 
+def test_pipeline_of_nothing(spark, tmp_path):
+    write(spark, str(tmp_path), [], spark.createDataFrame([], "doc_id long, quality int, toxic int"), [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    texts, _, labels, n = labelled(spark, 40)
+    rows = [(i, t, "en", "s", len(t or ""), i, i, i) for i, t in enumerate([*texts, texts[0], None])]
+    spark.createDataFrame(rows + [(None, texts[3], None, None, None, 0, 0, 0)], f"{SCHEMA}, shard int, score int, root int").write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "none of these words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    names = docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/s{k}")
+        docs = spark.read.parquet(f"{tmp_path}/s{k}")
+        assert docs.columns == names
+    assert docs.where("doc_id <> shard or shard <> score or score <> root").count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def _dirty(text, item):
     ((n, h, _),) = decontaminate.brute_contamination([text], [("1", item)])
     return bool(h) and 20 * h >= n

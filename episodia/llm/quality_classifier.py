@@ -3,17 +3,19 @@
 Small boosted trees are grown on statistics of labelled texts; every path from
 a root is a conjunctive rule. A lasso-penalised logistic regression over the
 rules' truth values keeps a few of them, and the result is compiled into one
-Spark column expression over the statistics, so scoring is native.
+Spark column expression over the statistics (which Arrow workers count).
 
 The trees and weights are fitted on a bounded sample of labelled rows
 (about `MAX_ROWS` at most, by id hash); statistics cover whole texts of
 all documents.
 
 Defined results: a null or empty text has zero statistics and is scored like
-any other; without labels of both kinds the score is the labels' share (0.5
-without any); a document with several labels counts with the lowest; a null id
-trains nothing; repeated rows are scored alike; an empty table gives none;
-other columns are ignored.
+any other; without labels of both kinds, or with too few for a rule, the score is
+the labels' share (0.5 without any); a document with several labels counts with the lowest; a null id
+trains nothing; repeated rows are scored alike; equal gains take the first
+feature and cut; a score equal to the threshold predicts 1; a very long text is
+counted as a whole, in a slice of its own; an empty table gives none; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -169,10 +171,10 @@ def fit(stats: DataFrame, labels: DataFrame) -> RuleEnsemble:
     some = bounded_sample(some, MAX_ROWS, "doc_id")
     rows = stats.join(some, "doc_id").select("doc_id", "quality", *feature_columns()).toPandas().sort_values(["doc_id", *FEATURES])
     x, y = rows[list(FEATURES)].to_numpy(dtype=np.float64), (rows["quality"].to_numpy() == 1).astype(np.float64)
-    if not len(y) or y.min() == y.max():
+    rules = candidate_rules(x, y) if len(y) and y.min() < y.max() else []
+    if not rules:
         share = min(max(y.mean() if len(y) else 0.5, 1e-6), 1 - 1e-6)
         return RuleEnsemble(float(np.log(share / (1 - share))), [])
-    rules = candidate_rules(x, y)
     intercept, weights = lasso_logistic(np.stack([truth(r, x) for r in rules], axis=1).astype(np.float64), y)
     return RuleEnsemble(intercept, [(r, float(w)) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-4])
 

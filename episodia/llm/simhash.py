@@ -42,6 +42,7 @@ PROBE_COST, CANDIDATE_COST = 8.0, 1.0
 #: A bucket that may hold more rows is split: two fingerprints that differ in RADIUS bits at most agree on one of
 #: RADIUS + 1 pieces of the bits outside the bucket's part, so its rows go to a bucket for each piece instead.
 HOT_ROWS = 50_000
+SALTS = 32
 
 
 def shingle_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -402,8 +403,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, that of the smallest id (a null id last), with all columns; of repeated rows one."""
     found = written(near_duplicates(docs), "components")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
-    kept = found.groupBy("root").agg(first.alias("k"))
-    others = found.join(kept, "root").where(~(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_hash") == F.col("k.text_hash"))))
+    kept = found.groupBy("root").agg(first.alias("k"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # the members of a large component meet its first one in SALTS places
+    kept = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    members = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int"))
+    others = members.join(kept, ["root", "salt"]).where(~(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_hash") == F.col("k.text_hash"))))
     out = anti_joined(docs, id_and_text(), written(others.select(F.col("doc_id").alias("k0"), F.col("text_hash").alias("k1")).distinct(), "near-copies"))
     repeated = found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out

@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard_tables, table, written
 
 SHARDS = 8
 DIGITS, MORE_DIGITS = 3, 2
@@ -170,7 +170,9 @@ def shard_of(key: Column, cuts: list[str]) -> Column:
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document."""
     rows = written(sized_rows(docs), "sized-rows")
-    cuts = minimax_cuts(written(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "sized-groups"), shards)
+    groups = written(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "sized-groups")
+    cuts = minimax_cuts(groups, shards)
+    discard_tables(groups)
     rows = rows.withColumn("shard", shard_of(F.col("key"), cuts)).withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SLOT_PARTS)).cast("int"))
     # at most shards x SLOT_PARTS counts
     counts = rows.groupBy("shard", "part").count()

@@ -4,8 +4,10 @@ Every 20-word window holds a whole block of 10 words at a word number divisible
 by 10. The non-overlapping blocks of all documents are indexed and probed with
 every rolling 10-word window: a window that meets a block elsewhere is a hit, and
 the hits bound where a repeat of 20 words can lie. Around the hits, every window
-is then compared by its 64-bit content key and its place; the windows that also
-start earlier are merged into maximal exact repeats and their words removed.
+is then compared by its 96-bit content key and its place: two keys of the words'
+64-bit keys, so that no two of even 10^13 different windows are likely to be equal.
+The windows that also start earlier are merged into maximal exact repeats and
+their words removed.
 
 Both steps use the packed exchange (exchange.py). Probes carry 32 key bits
 beyond the bucket's; a chance hit only costs a comparison in the second step.
@@ -13,8 +15,8 @@ beyond the bucket's; a chance hit only costs a comparison in the second step.
 Defined results: documents count in the order of doc_id (a null id last), rows
 that share an id in the order of a hash of the text, and identical rows one
 after another, so a repeated row is an earlier one's copy; a null or empty text
-has no words and keeps nothing; windows never cross documents; an empty table
-gives none; other columns are ignored.
+has no words and keeps nothing; a very long text is a slice of its own; windows
+never cross documents; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as ex
 from . import textkit as tk
-from .common import pieces, table, text_bytes, written
+from .common import discard_tables, pieces, table, text_bytes, written
 
 WINDOW = 20
 BLOCK = 10
@@ -102,18 +104,28 @@ def block_hits(chunks: np.ndarray, blobs: list[bytes]) -> Iterator[tuple[int, np
         yield int(chunk), places, places + 1
 
 
+def later_equals(keys: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Which items equal an earlier one in both keys."""
+    _, seen, back = np.unique(keys, return_index=True, return_inverse=True)
+    first = seen[back]
+    if (more == more[first]).all():
+        return first != np.arange(len(keys))
+    order = np.lexsort((more, keys))  # a collision of the first key
+    again = np.zeros(len(keys), dtype=bool)
+    again[order[1:]] = (keys[order[1:]] == keys[order[:-1]]) & (more[order[1:]] == more[order[:-1]])
+    return again
+
+
 def window_blobs(stream: DataFrame, buckets: int) -> DataFrame:
     """The windows around hits, dealt to buckets; chunk numbers follow the order of documents."""
 
     def flush(chunk: ex.Chunk) -> pa.RecordBatch:
-        keys, places = (np.concatenate(x) for x in zip(*chunk.kept, strict=True)) if chunk.kept else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        _, seen = np.unique(keys, return_index=True)
-        again = np.ones(len(keys), dtype=bool)
-        again[seen] = False
+        keys, more, places = (np.concatenate(x) for x in zip(*chunk.kept, strict=True)) if chunk.kept else (np.zeros(0, np.uint64), np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        again = later_equals(keys, more)
         chunk.local.append(np.stack([places[again], places[again] + WINDOW], axis=1))
-        keys, places = keys[~again], places[~again]
+        keys, more, places = keys[~again], more[~again], places[~again]
         order, cuts, to = ex.dealt(keys, buckets)
-        return chunk.rows([(int(b), ex.pack(keys[order[i:j]], ex.deltas(places[order[i:j]]))) for i, j, b in zip(cuts[:-1], cuts[1:], to, strict=True)])
+        return chunk.rows([(int(b), ex.pack(keys[order[i:j]], ex.deltas(places[order[i:j]]), more[order[i:j]])) for i, j, b in zip(cuts[:-1], cuts[1:], to, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, state = ex.Chunk(TaskContext.get().partitionId() << 24), {"all": True}
@@ -131,7 +143,8 @@ def window_blobs(stream: DataFrame, buckets: int) -> DataFrame:
                     near = tk.cover(int(first[-1]), np.maximum(hits[:, 0] - (WINDOW - BLOCK), 0), hits[:, 1])
                     places = tk.window_starts(first, WINDOW)
                     places = places[near[places]]
-                    chunk.kept.append((tk.word_window_hash(hashes, places, WINDOW), places + begin))
+                    more = tk.word_window_hash(tk.mix(~hashes), places, WINDOW).astype("<u4")
+                    chunk.kept.append((tk.word_window_hash(hashes, places, WINDOW), more, places + begin))
                 if chunk.bytes >= ex.CHUNK_BYTES:
                     yield flush(chunk)
                     chunk = ex.Chunk(chunk.number + 1)
@@ -143,12 +156,9 @@ def window_blobs(stream: DataFrame, buckets: int) -> DataFrame:
 def later_windows(chunks: np.ndarray, blobs: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Windows whose key has an earlier place."""
     parts = [ex.unpack(b) for b in blobs]
-    keys = np.concatenate([p[0] for p in parts])
-    _, seen = np.unique(keys, return_index=True)
-    again = np.ones(len(keys), dtype=bool)
-    again[seen] = False
+    again = later_equals(np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts]))
     ends = np.cumsum([len(p[0]) for p in parts])
-    for chunk, (k, d), end in zip(chunks, parts, ends, strict=True):
+    for chunk, (k, d, _), end in zip(chunks, parts, ends, strict=True):
         places = ex.undelta(d)[again[end - len(k) : end]]
         yield int(chunk), places, places + WINDOW
 
@@ -159,7 +169,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     buckets = pieces(size, ex.BUCKET_BYTES)
     hits = written(ex.resolve(probe_blobs(docs, buckets), block_hits), "block-hits")
     stream = ex.with_spans(docs, hits, pieces(size, ex.CHUNK_BYTES))
-    return written(ex.resolve(window_blobs(stream, buckets), later_windows), "repeat-spans")
+    out = written(ex.resolve(window_blobs(stream, buckets), later_windows), "repeat-spans")
+    discard_tables(hits)
+    return out
 
 
 def kept_words(data: np.ndarray, at: np.ndarray, spans: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:

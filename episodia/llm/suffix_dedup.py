@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as ex
 from . import textkit as tk
-from .common import pieces, table, text_bytes, written
+from .common import discard_tables, pieces, table, text_bytes, written
 
 LENGTH = 100
 SEED = 24
@@ -325,7 +325,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     buckets = pieces(size, ex.BUCKET_BYTES)
     hits = written(ex.resolve(seed_blobs(docs, buckets), shared_seeds), "seed-hits")
     stream = ex.with_spans(docs, hits, pieces(size, ex.CHUNK_BYTES))
-    return written(ex.resolve(context_blobs(stream, buckets), later_strings), "repeat-spans")
+    out = written(ex.resolve(context_blobs(stream, buckets), later_strings), "repeat-spans")
+    discard_tables(hits)
+    return out
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -122,5 +122,5 @@ class IsolationForest:
         if rows.isEmpty():
             raise ValueError(f"no rows within [{start_us}, {end_us}]")
         found = self.contributions(rows, True).withColumn("episode", F.lit(1).cast("long"))
-        named = found.select("episode", *(F.col(f"c_{c}").alias(c) for c in self.contributors))
+        named = found.select("episode", "us", *(F.col(f"c_{c}").alias(c) for c in self.contributors))
         return rank_contributions(named, self.contributors, [], method).select("place", "contributor", "value")

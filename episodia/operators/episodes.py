@@ -46,15 +46,23 @@ def episodes(flagged: DataFrame, by: Sequence[str], min_duration_us: int = 0) ->
 
 
 def rank_contributions(flagged: DataFrame, names: Sequence[str], by: Sequence[str], method: str = "mean") -> DataFrame:
-    """(by, episode, place, contributor, value): contributions over all rows of each episode, largest first; ties by name, missing last."""
+    """(by, episode, place, contributor, value): contributions over all rows of each episode, largest first; ties by name, missing last.
+
+    Means are summed in time order: the last bits of a sum depend on its order, and with them places and rounded halves."""
     if not names:
         raise ValueError("no contributors")
     if method not in ("mean", "max"):
         raise ValueError(f"unknown aggregation {method!r}")
-    pairs = [x for n in names for x in (F.lit(n), F.col(n))]
-    long = flagged.where("episode is not null").select(*by, "episode", F.stack(F.lit(len(names)), *pairs).alias("contributor", "v"))
-    value = (F.avg if method == "mean" else F.max)("v")
-    out = long.groupBy(*by, "episode", "contributor").agg(value.alias("value"))
+    rows, keys = flagged.where("episode is not null"), [*by, "episode"]
+    cells = [f"__{k}" for k in range(len(names))]
+    if method == "mean":
+        timed = Window.partitionBy(*keys).orderBy("us")
+        whole = timed.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        wide = rows.select(*keys, *(F.avg(n).over(whole).alias(c) for n, c in zip(names, cells)), F.row_number().over(timed).alias("__row")).where("__row = 1")
+    else:
+        wide = rows.groupBy(*keys).agg(*(F.max(n).alias(c) for n, c in zip(names, cells)))
+    pairs = [x for n, c in zip(names, cells) for x in (F.lit(n), F.col(c))]
+    out = wide.select(*keys, F.stack(F.lit(len(names)), *pairs).alias("contributor", "value"))
     w = Window.partitionBy(*by, "episode").orderBy(F.col("value").desc_nulls_last(), "contributor")
     return out.withColumn("place", F.row_number().over(w))
 

@@ -32,6 +32,12 @@ def test_spark_equals_sql(spark, name):
     assert got == sorted(want, key=repr)
 
 
+@needs_data
+def test_means_on_a_rounding_edge_equal_sql(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "SF", "/root/testdata/sf0.01")
+    test_spark_equals_sql(spark, "episode_ranking")
+
+
 @needs_data
 def test_ablation_covers_every_scored_row(spark):
     got, want = (catalogue.QUERIES[q](spark, "/root/testdata/sf0.01").select("asset_id", "us").collect() for q in ("iforest_ablation", "iforest_scores"))

@@ -54,6 +54,13 @@ def test_peak_and_ranking_cover_dips(spark):
         episodes.rank_contributions(flagged, ["a"], BY, "median")
 
 
+def test_contributions_are_summed_in_time_order(spark):
+    df = scores(spark, [1.0, 1e17, -1e17], [2, 0, 1])
+    flagged = episodes.flag_episodes(df.withColumn("x", F.col("score")).withColumn("score", F.lit(1.0)), F.lit(0.5), 10 * MIN, 30 * MIN, BY)
+    assert episodes.rank_contributions(flagged, ["x"], BY).first()["value"] == 1 / 3
+    assert episodes.rank_contributions(flagged.orderBy(F.desc("us")), ["x"], BY).first()["value"] == 1 / 3
+
+
 EVENT = Event(1, datetime(2020, 1, 10), datetime(2020, 1, 10, 4), datetime(2020, 1, 10, 8))
 SPLIT = SplitSettings(post_settle="2h")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FeatureSettings, micros
-from .ordered import BY, last_completed, last_us, ratio, rolling_medians, run_table, series, so_far, with_last_runs, with_runs
+from .ordered import BY, last_completed, ratio, rolling_medians, run_table, series, so_far, with_last_runs, with_runs
 
 LOADED, OFFLOAD, STOPPED = "LOADED", "OFFLOAD", "STOPPED"
 
@@ -58,8 +58,12 @@ def cycle_period(runs: DataFrame, wanted: str = STOPPED, by: Sequence[str] = BY)
 
 
 def duty_ratio(width_us: int, by: Sequence[str] = BY, wanted: str = LOADED) -> Column:
-    """Share of rows in (t - width, t] whose label is `wanted`."""
-    return F.avg((F.col("regime") == wanted).cast("double")).over(last_us(width_us, by))
+    """Share of rows in (t - width, t] whose label is `wanted`: counts up to t less counts up to t - width, as Spark sums a
+    moving frame anew for every row."""
+    now, before = (series(by).rangeBetween(Window.unboundedPreceding, end) for end in (0, -width_us))
+    mine = F.count(F.when(F.col("regime") == wanted, 1))
+    n = F.count("regime").over(now) - F.count("regime").over(before)
+    return F.when(n > 0, (mine.over(now) - mine.over(before)) / n)
 
 
 def baseline_trailing(df: DataFrame, column: str, width_us: int, out: str, by: Sequence[str] = BY) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -31,11 +32,6 @@ def coming(column: str, by: Sequence[str] = BY) -> Column:
     return F.last(column, True).over(Window.partitionBy(*by).orderBy(F.desc("us")).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def last_us(width_us: int, by: Sequence[str] = BY) -> WindowSpec:
-    """The left-open time frame (t - width, t]."""
-    return series(by).rangeBetween(-(width_us - 1), 0)
-
-
 def changed(label: str, by: Sequence[str] = BY) -> Column:
     """True where the label differs from the row before, and on the first row."""
     before = F.lag(label).over(series(by))
@@ -115,7 +111,8 @@ def rolling_median(df: DataFrame, column: str, width_us: int, out: str, by: Sequ
 
 def rolling_medians(df: DataFrame, columns: dict[str, str], width_us: int, by: Sequence[str] = BY, chunk_us: int | None = None) -> DataFrame:
     """Adds, for each column: out, the median over (t - width, t], NULLs skipped. Every series is cut into time chunks that
-    carry a halo of `width`, so one long series is still worked on by many tasks and each row goes to at most a few of them."""
+    carry a halo of `width`, so one long series is still worked on by many tasks and each row goes to at most a few of them.
+    Rows of one time share its whole frame."""
     chunk_us = chunk_us or 4 * width_us
     own = F.floor(F.col("us") / chunk_us)
     reach = F.floor((F.col("us") + (width_us - 1)) / chunk_us)
@@ -125,13 +122,15 @@ def rolling_medians(df: DataFrame, columns: dict[str, str], width_us: int, by: S
 
     def roll(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("us", kind="stable").reset_index(drop=True)
-        index = pd.to_datetime(part["us"].to_numpy(), unit="us")
+        us = part["us"].to_numpy()
+        index, last = pd.to_datetime(us, unit="us"), np.searchsorted(us, us, "right") - 1
         for column, out in columns.items():
             value = pd.Series(part[column].to_numpy(dtype="float64"), index=index)
-            part[out] = value.rolling(pd.Timedelta(width_us, unit="us"), min_periods=1).median().to_numpy()
+            part[out] = value.rolling(pd.Timedelta(width_us, unit="us"), min_periods=1).median().to_numpy()[last]
         return part.loc[part["__own"] == part["__chunk"], [*names, *columns.values()]]
 
-    rolled = sent.groupBy(*by, "__chunk").applyInPandas(roll, schema)
+    # without a repartition the partitioning by series would do, and all chunks of a series would stay in its task
+    rolled = sent.repartition(*by, "__chunk").groupBy(*by, "__chunk").applyInPandas(roll, schema)
     return rolled.withColumns({out: F.when(~F.isnan(out), F.col(out)) for out in columns.values()})
 
 

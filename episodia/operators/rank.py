@@ -33,15 +33,15 @@ def percentile_rank(train: DataFrame, rows: DataFrame, value: str, out: str, key
 def percentile_ranks(df: DataFrame, in_train: str, values: dict[str, str], keys: Sequence[str]) -> DataFrame:
     """percentile_rank() of several values at once, where one frame holds training and other rows (in_train: true or false):
     adds value: out for each to all rows. A value costs a sort within the keys; nothing is joined."""
+    t = {v: F.when(F.col(v).isNotNull(), F.col(in_train).cast("long")).otherwise(F.lit(0)) for v in values}
+    df = df.withColumns({f"__n_{v}": F.sum(t[v]).over(Window.partitionBy(*keys)) for v in values})
     for value, out in values.items():
-        t = F.when(F.col(value).isNotNull(), F.col(in_train).cast("long")).otherwise(F.lit(0))
-        among = Window.partitionBy(*keys).orderBy(value)
-        upto = F.sum(t).over(among.rangeBetween(Window.unboundedPreceding, 0))
-        equal = F.sum(t).over(among.rangeBetween(0, 0))
-        n = F.sum(t).over(Window.partitionBy(*keys))
-        df = df.withColumns({"__upto": upto, "__equal": equal, "__n": n})
-        share = F.when(F.col("__n") == 0, F.lit(0.5)).otherwise((2 * F.col("__upto") - F.col("__equal")) / (2.0 * F.col("__n")))
-        df = df.withColumn(out, F.when(F.col(value).isNotNull(), share)).drop("__upto", "__equal", "__n")
+        upto = F.sum(t[value]).over(Window.partitionBy(*keys).orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
+        equal = F.sum(t[value]).over(Window.partitionBy(*keys, value))  # the same sort; a frame of equal rows would be kept in memory
+        df = df.withColumn("__upto", upto).withColumn("__equal", equal)
+        n = F.col(f"__n_{value}")
+        share = F.when(n == 0, F.lit(0.5)).otherwise((2 * F.col("__upto") - F.col("__equal")) / (2.0 * n))
+        df = df.withColumn(out, F.when(F.col(value).isNotNull(), share)).drop("__upto", "__equal", f"__n_{value}")
     return df
 
 

@@ -312,8 +312,7 @@ def rule_model() -> RuleModel:
 @query
 def rule_severity(spark, d):
     df = labelled(spark, d)
-    train = df.where(F.col("us") < folds.at(P.EVENTS[1].start))
-    m = rule_model().fit(train)
+    m = rule_model().fit_until(folds.at(P.EVENTS[1].start))
     return rounded(m.contributions(df).select("asset_id", "us", *m.contributors))
 
 

@@ -1,6 +1,8 @@
 import math
+import time
 
 from helpers import T0, column, frame
+from pyspark.sql import functions as F
 
 from episodia.config import FeatureSettings
 from episodia.operators import cycles, ordered
@@ -91,3 +93,16 @@ def test_division_by_zero(spark):
 
 def test_peak(spark):
     assert column(cycles.last_peak(two_cycles(spark), "value", "OFFLOAD", GAP), "last_peak")[40] == 9.0
+
+
+def test_rows_of_one_time_share_their_median(spark):
+    df = frame(spark, [(0, 1.0), (0, 3.0), (1, 8.0)], "value double")
+    assert column(ordered.rolling_median(df, "value", 2_000_000, "m"), "m") == [2.0, 2.0, 3.0]
+
+
+def test_duty_ratio_is_not_quadratic(spark):
+    df = spark.range(150_000).select(F.lit("A").alias("asset_id"), (F.col("id") * 1_000_000).alias("us"), F.when(F.col("id") % 4 == 0, "LOADED").otherwise("STOPPED").alias("regime"))
+    began = time.time()
+    got = df.select("us", cycles.duty_ratio(100_000 * 1_000_000).alias("d")).agg(F.max("us"), F.max_by("d", "us")).first()
+    assert tuple(got) == (149_999 * 1_000_000, 0.25)
+    assert time.time() - began < 30

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from episodia.models.rules import RuleModel
 from episodia.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -38,6 +39,18 @@ def test_means_on_a_rounding_edge_equal_sql(spark, monkeypatch):
     test_spark_equals_sql(spark, "episode_ranking")
 
 
+@needs_data
+@pytest.mark.parametrize(
+    ("name", "times"),
+    [("rule_severity", 1)],
+)
+def test_rules_measure_a_row_once_for_all_folds(spark, monkeypatch, name, times):
+    seen, quantities = [], RuleModel.quantities
+    monkeypatch.setattr(RuleModel, "quantities", lambda self, df, *by: seen.append(df.count()) or quantities(self, df, *by))
+    catalogue.QUERIES[name](spark, SF)
+    assert 0 < sum(seen) <= times * spark.read.parquet(f"{SF}/events.parquet").count()
+
+
 @needs_data
 def test_ablation_covers_every_scored_row(spark):
     got, want = (catalogue.QUERIES[q](spark, "/root/testdata/sf0.01").select("asset_id", "us").collect() for q in ("iforest_ablation", "iforest_scores"))

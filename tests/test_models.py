@@ -187,3 +187,13 @@ def test_lagged_warm_up_is_unknown(spark):
     got = m.fit(rule_frame(spark, 20)).score(rule_frame(spark, 20)).orderBy("us").collect()
     assert got[10]["short_stopped_duration"] is None and got[10]["score"] == got[10]["high_duty_ratio"]
     assert got[-1]["short_stopped_duration"] is not None
+
+
+@pytest.mark.parametrize("mode", ["trailing", "lagged"])
+def test_rules_judge_by_the_past_of_the_same_series(spark, mode):
+    f, df = FeatureSettings(decay_channel="value", gap="1h", duty="1h"), rule_frame(spark, 20)
+    cut = df.selectExpr("percentile_approx(us, 0.5)").first()[0]
+    m = lambda: RuleModel(f, RuleSettings(baseline="3h", mode=mode, lag="1h"), ["asset_id"], ["asset_id"])
+    two, one = m().fit(df.where(f"us < {cut}")), m().fit_until(cut)
+    got, want = (sorted(x.score(df).select("us", *two.contributors, "score").collect(), key=repr) for x in (one, two))
+    assert got == want and len({r["score"] for r in got}) > 2

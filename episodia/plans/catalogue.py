@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -319,7 +318,7 @@ def rule_severity(spark, d):
 @query
 def rule_score(spark, d):
     df = labelled(spark, d)
-    m = rule_model().fit(df.where(F.col("us") < folds.at(P.EVENTS[1].start)))
+    m = rule_model().fit_until(folds.at(P.EVENTS[1].start))
     return rounded(m.score(df).select("asset_id", "us", "score"))
 
 
@@ -462,9 +461,7 @@ def rule_episodes(spark, d):
 
 @query
 def rule_calibration(spark, d):
-    m = evaluation.fitted_rules(_plan(spark, d))
-    parts = [m.calibration_quantile(r, 0.05).withColumn("rule", F.lit(r)) for r in m.contributors]
-    return rounded(reduce(DataFrame.unionByName, parts).select(*evaluation.FOLD, "rule", "value"))
+    return rounded(evaluation.rule_calibration(_plan(spark, d), 0.05))
 
 
 @query

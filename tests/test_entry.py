@@ -42,7 +42,7 @@ def test_means_on_a_rounding_edge_equal_sql(spark, monkeypatch):
 @needs_data
 @pytest.mark.parametrize(
     ("name", "times"),
-    [("rule_severity", 1), ("rule_calibration", 1), ("rule_score", 1), ("rule_shift", 2), ("rule_episodes", 2), ("rule_pooled", 2)],
+    [("rule_severity", 1), ("rule_calibration", 1), ("rule_score", 1), ("rule_shift", 2), ("rule_episodes", 2), ("rule_pooled", 2), ("rule_evaluation", 2)],
 )
 def test_rules_measure_a_row_once_for_all_folds(spark, monkeypatch, name, times):
     seen, quantities = [], RuleModel.quantities

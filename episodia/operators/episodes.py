@@ -12,36 +12,44 @@ from ..schema import US_PER_DAY
 from .folds import HOUR, at, masked_regions
 from .intervals import clip, overlaps, total_us
 from .ordered import coming
+from .rank import weight
 
 EARLY, CONCURRENT, MASKED, FALSE_ALARM = "early_warning", "concurrent", "masked", "false_alarm"
 
 
+def _times(rows: DataFrame) -> tuple[list[str], str]:
+    """The columns that order rows, and the one with the last time that a row stands for."""
+    return (["us", "__until"], "__until") if "__until" in rows.columns else (["us"], "us")
+
+
 def flag_episodes(scores: DataFrame, threshold: Column, hold_us: int, gap_us: int, by: Sequence[str]) -> DataFrame:
     """Adds `episode` to the rows of every episode, the dips inside it included; other rows get NULL.
 
     A row is above at score >= threshold (a missing score never is). Above rows begin a new episode after a coverage
-    gap, or after at least one row below and more than `hold` since the last above row."""
-    w = Window.partitionBy(*by).orderBy("us")
+    gap, or after at least one row below and more than `hold` since the last above row. A row may stand for a stretch of
+    rows with one score and no coverage gap, from us to __until."""
+    order, until = _times(scores)
+    w = Window.partitionBy(*by).orderBy(*order)
     up_to = w.rowsBetween(Window.unboundedPreceding, 0)
     above = F.coalesce((F.col("score") >= threshold) & ~F.isnan("score"), F.lit(False))
     df = scores.withColumn("__above", above)
-    df = df.withColumn("__cut", F.coalesce(F.col("us") - F.lag("us").over(w) > gap_us, F.lit(True)).cast("int"))
+    df = df.withColumn("__cut", F.coalesce(F.col("us") - F.lag(until).over(w) > gap_us, F.lit(True)).cast("int"))
     df = df.withColumn("__segment", F.sum("__cut").over(up_to))
-    inside = Window.partitionBy(*by, "__segment").orderBy("us")
+    inside = Window.partitionBy(*by, "__segment").orderBy(*order)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("__last", F.last(F.when(F.col("__above"), F.col("us")), True).over(earlier)).withColumn("__before", F.lag("__above").over(inside))
+    df = df.withColumn("__last", F.last(F.when(F.col("__above"), F.col(until)), True).over(earlier)).withColumn("__before", F.lag("__above").over(inside))
     new = F.col("__last").isNull() | (~F.col("__before") & (F.col("us") - F.col("__last") > hold_us))
     df = df.withColumn("__new", F.when(F.col("__above") & new, 1).otherwise(0))
     df = df.withColumn("__id", F.when(F.col("__above"), F.sum("__new").over(up_to)))
     begun = F.last("__id", True).over(up_to)
-    df = df.withColumn("__begun", begun).withColumn("__ending", coming("__id", by))
+    df = df.withColumn("__begun", begun).withColumn("__ending", coming("__id", by, order))
     df = df.withColumn("episode", F.when(F.col("__begun") == F.col("__ending"), F.col("__begun")))
     return df.drop("__above", "__cut", "__segment", "__last", "__before", "__new", "__id", "__begun", "__ending")
 
 
 def episodes(flagged: DataFrame, by: Sequence[str], min_duration_us: int = 0) -> DataFrame:
     """(by, episode, start_us, end_us, peak, n_rows); shorter ones than min_duration go."""
-    out = flagged.where("episode is not null").groupBy(*by, "episode").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.max("score").alias("peak"), F.count("*").alias("n_rows"))
+    out = flagged.where("episode is not null").groupBy(*by, "episode").agg(F.min("us").alias("start_us"), F.max(_times(flagged)[1]).alias("end_us"), F.max("score").alias("peak"), F.sum(weight(flagged).cast("long")).alias("n_rows"))
     return out.where(F.col("end_us") - F.col("start_us") >= min_duration_us) if min_duration_us > 0 else out
 
 
@@ -90,8 +98,9 @@ def mask_table(spark, events: Sequence[Event], s: SplitSettings) -> DataFrame:
 def evaluated_days(scores: DataFrame, periods: DataFrame, masks: DataFrame, gap_us: int, by: Sequence[str]) -> DataFrame:
     """(by, days): each period less the union of masks and of the holes between its scored rows.
     periods: (by, lo, hi), one row per fold or stretch; leading and trailing holes are not subtracted."""
-    w = Window.partitionBy(*by).orderBy("us")
-    holes = scores.select(*by, F.lag("us").over(w).alias("start_us"), F.col("us").alias("end_us")).where(F.col("end_us") - F.col("start_us") > gap_us)
+    order, until = _times(scores)
+    w = Window.partitionBy(*by).orderBy(*order)
+    holes = scores.select(*by, F.lag(until).over(w).alias("start_us"), F.col("us").alias("end_us")).where(F.col("end_us") - F.col("start_us") > gap_us)
     m = periods.crossJoin(F.broadcast(masks.select("start_us", "end_us")))  # periods x configured regions
     m = clip(m, F.col("lo"), F.col("hi")).select(*by, "start_us", "end_us")
     h = clip(holes.join(periods, [*by]), F.col("lo"), F.col("hi")).select(*by, "start_us", "end_us")

@@ -27,9 +27,9 @@ def so_far(by: Sequence[str] = BY) -> WindowSpec:
     return series(by).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def coming(column: str, by: Sequence[str] = BY) -> Column:
+def coming(column: str, by: Sequence[str] = BY, order: Sequence[str] = ("us",)) -> Column:
     """The first value at or after a row: a fill over the reversed order, as Spark's frames that end at the last row are quadratic."""
-    return F.last(column, True).over(Window.partitionBy(*by).orderBy(F.desc("us")).rowsBetween(Window.unboundedPreceding, 0))
+    return F.last(column, True).over(Window.partitionBy(*by).orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, 0))
 
 
 def changed(label: str, by: Sequence[str] = BY) -> Column:

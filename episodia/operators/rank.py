@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def weight(df: DataFrame) -> Column:
+    """How many rows a row stands for: __n, or itself."""
+    return F.col("__n") if "__n" in df.columns else F.lit(1)
+
+
 def thresholds(train: DataFrame, score: str, quantiles: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, quantile, threshold): linear quantiles of the training scores, NULLs skipped."""
+    """(keys, quantile, threshold): linear quantiles of the training scores, NULLs skipped. Rows may be packed (__n)."""
     qs = F.array(*(F.lit(float(q)) for q in quantiles))
-    out = train.groupBy(*keys).agg(F.percentile(score, qs).alias("t"))
+    out = train.groupBy(*keys).agg(F.percentile(score, qs, weight(train)).alias("t"))
     return out.select(*keys, F.explode(F.arrays_zip(qs.alias("q"), F.col("t").alias("t"))).alias("z")).select(*keys, F.col("z.q").alias("quantile"), F.col("z.t").alias("threshold"))
 
 
@@ -46,11 +51,13 @@ def percentile_ranks(df: DataFrame, in_train: str, values: dict[str, str], keys:
 
 
 def score_shift(train: DataFrame, test: DataFrame, score: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Median, 99th percentile and maximum of both score sets, and the share of test scores above the training p99."""
-    stats = lambda df, p: df.groupBy(*keys).agg(F.percentile(score, F.array(F.lit(0.5), F.lit(0.99))).alias(f"{p}_q"), F.max(score).alias(f"{p}_max"))
+    """Median, 99th percentile and maximum of both score sets, and the share of test scores above the training p99.
+    Rows may be packed (__n)."""
+    stats = lambda df, p: df.groupBy(*keys).agg(F.percentile(score, F.array(F.lit(0.5), F.lit(0.99)), weight(df)).alias(f"{p}_q"), F.max(score).alias(f"{p}_max"))
     tr = stats(train, "train")
     joined = test.join(tr, [*keys]) if keys else test.crossJoin(F.broadcast(tr))
-    above = joined.groupBy(*keys).agg(F.avg((F.col(score) > F.col("train_q")[1]).cast("double")).alias("share_above_p99"))
+    over, n = F.col(score) > F.col("train_q")[1], weight(test)
+    above = joined.groupBy(*keys).agg((F.sum(F.when(over, n).when(~over, 0)) / F.sum(F.when(over.isNotNull(), n))).alias("share_above_p99"))
     te = stats(test, "test")
     out = tr.join(te, [*keys], "left").join(above, [*keys], "left") if keys else tr.crossJoin(te).crossJoin(above)
     return out.select(*keys, F.col("train_q")[0].alias("train_median"), F.col("train_q")[1].alias("train_p99"), "train_max", F.col("test_q")[0].alias("test_median"), F.col("test_q")[1].alias("test_p99"), "test_max", "share_above_p99")

@@ -136,8 +136,7 @@ def _longest(made: Sequence[folds.Fold]) -> folds.Fold:
 
 
 def _measured(p: Plan, rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    m = _rules(p)
-    return m.packed(m.measured(rows, by), by)
+    return _rules(p).quantities(rows, by, True, episodes.episode_settings(p.settings.evaluation)[1])
 
 
 def _by_fold(packed: DataFrame, f: DataFrame) -> DataFrame:
@@ -175,22 +174,24 @@ def _rule_normal(p: Plan) -> DataFrame:
 
 
 def _rated(p: Plan, others: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Scores of the others and of the training rows, from one pass over both."""
+    """Scores of the others and of the training rows, from one pass over both. They stay packed: a row stands for __n rows
+    with one score, from us to __until, without a coverage gap."""
     m = _rules(p)
     both = others.withColumn("__train", F.lit(False)).unionByName(_rule_training(p).withColumn("__train", F.lit(True)), allowMissingColumns=True)
-    out = p.keep(m.scored(m.rated(both)).select(*keys, "us", "score", *m.contributors, "__train"))
-    return out.where("not __train").drop("__train"), out.where("__train").select(*FOLD, "us", "score")
+    times = F.get("__us", F.lit(0)).alias("us"), F.element_at("__us", -1).alias("__until"), F.size("__us").alias("__n")
+    out = p.keep(m.scored(m.rated(both)).select(*keys, *times, "score", *m.contributors, "__train"))
+    return out.where("not __train").drop("__train"), out.where("__train").select(*FOLD, "us", "__until", "__n", "score")
 
 
 def rule_scores(p: Plan) -> tuple[DataFrame, DataFrame]:
-    """Scores of the test and of the training rows."""
+    """Packed scores of the test and of the training rows."""
     return _rated(p, _rule_history(p), FOLD)
 
 
 def rule_normal(p: Plan) -> tuple[DataFrame, DataFrame]:
-    """Scores of the stretches' and of the training rows."""
+    """Packed scores of the stretches' and of the training rows."""
     normal, train = _rated(p, _rule_normal(p), SCOPE)
-    return normal.select(*SCOPE, "us", "score"), train
+    return normal.select(*SCOPE, "us", "__until", "__n", "score"), train
 
 
 def rule_calibration(p: Plan, q: float) -> DataFrame:

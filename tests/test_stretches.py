@@ -104,7 +104,7 @@ def test_scores_stay_packed_and_whole(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["rule_episodes", "rule_score", "rule_evaluation", "rule_pooled"])
+@pytest.mark.parametrize("name", ["rule_episodes", "rule_shift", "rule_score", "rule_evaluation", "rule_pooled"])
 def test_rule_queries_take_one_pass_for_all_quantities(spark, name):
     text = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in text and "FlatMapGroupsInPandas" not in text

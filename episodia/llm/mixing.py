@@ -226,6 +226,15 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     return scored.select("*", rate.alias("rate"), F.array(*map(F.lit, model.names)).alias("domains"), shares[0].alias("wanted_shares"), shares[1].alias("reached_shares"))
 
 
+def repeated(batch: pa.RecordBatch, copies: np.ndarray, at_text: int) -> Iterator[pa.RecordBatch]:
+    """Row k copies[k] times, in pieces of about SLICE_BYTES text bytes however large the rates are."""
+    sizes = np.diff(tk.buffers(batch.column(at_text))[1])
+    index = np.repeat(np.arange(batch.num_rows), copies)
+    piece = (np.cumsum(sizes[index]) - sizes[index]) // tk.SLICE_BYTES
+    for part in np.split(index, np.flatnonzero(np.diff(piece)) + 1):
+        yield batch.take(pa.array(part))
+
+
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """The documents, each repeated floor(rate + u) times with u from a hash of its id and text; all columns."""
     model = fit_classifier(docs, labels)
@@ -243,8 +252,8 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
                 means, _ = model.means(*tk.buffers(batch.column(at_text)))
                 r = rates_at(model.posteriors(means), g, ridge)
                 copies = np.floor(r + batch.column(width).to_numpy()).astype(np.int64)
-                out = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), copies)))
-                yield pa.record_batch(out.columns[:width], names=names)
+                for out in repeated(batch, copies, at_text):
+                    yield pa.record_batch(out.columns[:width], names=names)
 
     unit = (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)) / float(1 << 32)).alias("__unit")
     return docs.select("*", unit).mapInArrow(run, docs.schema)

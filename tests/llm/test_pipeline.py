@@ -7,11 +7,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from test_llm import SCHEMA, brute_components, brute_fingerprint, brute_minimax, labelled, prose
 
 import __spark_entry__
 from episodia.llm import decontaminate, mixing
+from episodia.llm.common import table
 
 
 def write(spark, path, texts, labels, items):
@@ -90,3 +93,14 @@ def test_every_query_is_registered():
 
 def test_digest_of_no_items():
     assert decontaminate.items_digest([]) == hashlib.sha256(b"").hexdigest()
+
+
+def test_copies_and_batches_stay_small(spark, tmp_path):
+    batch = pa.record_batch({"doc_id": [1, 2, 3, 4], "text": ["a" * 900_000, None, "b" * 300_000, "c"]})
+    parts = list(mixing.repeated(batch, np.array([40, 2, 0, 3]), 1))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == [1] * 40 + [2] * 2 + [4] * 3
+    assert all(p.nbytes < 2_500_000 for p in parts)
+    assert [p.num_rows for p in mixing.repeated(batch, np.zeros(4, dtype=np.int64), 1)] == [0]
+    spark.range(0, 8000, 1, 1).selectExpr("id doc_id", "repeat('word ', 600) text").write.parquet(f"{tmp_path}/documents.parquet")
+    sizes = table(spark, str(tmp_path), "documents").mapInArrow(lambda it: (pa.record_batch({"n": [b.nbytes]}) for b in it), "n long").collect()
+    assert max(r["n"] for r in sizes) < 3_000_000

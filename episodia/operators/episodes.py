@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EvaluationSettings, Event, SplitSettings, micros
-from ..schema import US_PER_DAY
+from ..schema import US_PER_DAY, plan_table
 from .folds import HOUR, at, masked_regions
 from .intervals import clip, overlaps, total_us
 from .ordered import coming
@@ -88,11 +88,11 @@ def categorise(eps: DataFrame, events: DataFrame, masks: DataFrame, width_h: Col
 
 
 def event_table(spark, events: Sequence[Event]) -> DataFrame:
-    return spark.createDataFrame([(e.id, at(e.start), at(e.end)) for e in events], "event_id int, event_start_us long, event_end_us long")
+    return plan_table(spark, [(e.id, at(e.start), at(e.end)) for e in events], "event_id int, event_start_us long, event_end_us long")
 
 
 def mask_table(spark, events: Sequence[Event], s: SplitSettings) -> DataFrame:
-    return spark.createDataFrame([(a, b, i) for a, b, i in masked_regions(events, s)], "start_us long, end_us long, event_id int")
+    return plan_table(spark, [(a, b, i) for a, b, i in masked_regions(events, s)], "start_us long, end_us long, event_id int")
 
 
 def evaluated_days(scores: DataFrame, periods: DataFrame, masks: DataFrame, gap_us: int, by: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EvaluationSettings, Event, SplitSettings, micros
-from ..schema import US_PER_DAY
+from ..schema import US_PER_DAY, plan_table
 from .intervals import without
 
 HOUR = 3_600_000_000
@@ -59,6 +59,15 @@ def masked_regions(events: Sequence[Event], s: SplitSettings) -> list[tuple[int,
     return sorted([*own, *((at(r.start), at(r.end), None) for r in s.regions)], key=lambda x: x[:2])
 
 
+def training_periods(f: Fold) -> tuple[tuple[int, int], ...]:
+    """What is left of [train_start, train_end) outside every exclusion, half-open."""
+    edge, out = f.train_start, []
+    for a, b in merge(f.exclusions):
+        out.append((edge, min(a, f.train_end)))
+        edge = max(edge, b)
+    return tuple((a, b) for a, b in [*out, (edge, f.train_end)] if a < b)
+
+
 def training_days(f: Fold) -> float:
     return max(0, f.train_end - f.train_start - sum(b - a for a, b in f.exclusions)) / US_PER_DAY
 
@@ -132,7 +141,7 @@ FOLDS = "event_id int, train_start long, train_end long, test_start long, test_e
 
 
 def fold_table(spark: SparkSession, folds: Sequence[Fold]) -> DataFrame:
-    return spark.createDataFrame([(f.event_id, f.train_start, f.train_end, f.test_start, f.test_end, float(f.width_h), list(f.exclusions)) for f in folds], FOLDS)
+    return plan_table(spark, [(f.event_id, f.train_start, f.train_end, f.test_start, f.test_end, float(f.width_h), list(f.exclusions)) for f in folds], FOLDS)
 
 
 def train_rows(df: DataFrame, folds: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,16 +11,20 @@ from ..config import RegimeSettings, micros
 from .ordered import BY, run_table, series, since_change, so_far
 
 
-def raw_state(s: RegimeSettings) -> Column:
+def state_names(s: RegimeSettings) -> list[str]:
+    return [*s.states, s.above, s.below]
+
+
+def raw_state(s: RegimeSettings, name_of: Callable[[str], Column] = F.lit) -> Column:
     """The first state whose flags all hold, else by the split channel; a missing flag or channel fails its comparison."""
     out = None
     for name, flags in s.states.items():
         holds = F.lit(True)
         for flag, value in flags.items():
             holds = holds & F.coalesce(F.col(flag) == value, F.lit(False))
-        out = F.when(holds, F.lit(name)) if out is None else out.when(holds, F.lit(name))
+        out = F.when(holds, name_of(name)) if out is None else out.when(holds, name_of(name))
     above = F.coalesce(F.col(s.split_channel) >= s.split_at, F.lit(False)) & ~F.coalesce(F.isnan(s.split_channel), F.lit(False))
-    rest = F.when(above, F.lit(s.above)).otherwise(F.lit(s.below))
+    rest = F.when(above, name_of(s.above)).otherwise(name_of(s.below))
     return rest if out is None else out.otherwise(rest)
 
 

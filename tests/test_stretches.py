@@ -4,12 +4,14 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import frame
+from pyspark.sql import functions as F
 
-from episodia.config import FeatureSettings, RuleSettings
+from episodia.config import FeatureSettings, RegimeSettings, RuleSettings
 from episodia.models.rules import RuleModel
-from episodia.operators import episodes, rank, stretches
+from episodia.operators import episodes, rank, regimes, stretches
 from episodia.plans import catalogue, evaluation
 from episodia.plans import params as P
+from episodia.schema import plan_table
 
 SF = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
@@ -92,6 +94,100 @@ def test_packed_rows_give_the_episodes_and_thresholds_of_rows(spark):
     assert got == want
 
 
+REGIMES = RegimeSettings(states={"LOADED": {"on": 1.0}}, split_channel="value", split_at=0.5, min_duration="3min", settle="2min")
+
+
+def raw_rows(spark, n=600, missing=False):
+    """Rows of two series without regimes at distinct times, in no order; with one row each that has no time, if wanted."""
+    rng, rows = np.random.default_rng(4), []
+    for asset in "AB":
+        us = np.cumsum(rng.choice([1, 2, 3, 200], n, p=[0.5, 0.3, 0.19, 0.01])) * MIN
+        on = np.repeat(rng.choice([0.0, 1.0], n), rng.integers(1, 9, n))[:n]
+        value = np.repeat(rng.choice([0.0, 0.25, 0.5, 1.0], n), rng.integers(1, 9, n))[:n]
+        rows += [(asset, int(t), float(a), None if k % 17 == 0 else float(v)) for k, (t, a, v) in enumerate(zip(us, on, value, strict=True))]
+        rows += [(asset, None, 1.0, 0.0)] * missing
+    return spark.createDataFrame([rows[k] for k in rng.permutation(len(rows))], "asset_id string, us long, on double, value double")
+
+
+@pytest.mark.parametrize("missing", [False, True])
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_labels_equal_those_of_rows(spark, block, missing):
+    df, names = raw_rows(spark, 300, missing).cache(), [*regimes.state_names(REGIMES), REGIMES.transition]
+    for asset in "AB":
+        rows = regimes.assign_regimes(df.where(F.col("asset_id") == asset), REGIMES).withColumn("raw", regimes.raw_state(REGIMES)).orderBy("us").collect()
+        us = np.array([stretches.NEVER if r.us is None else r.us for r in rows])
+        raw, labels = np.array([names.index(r.raw) for r in rows]), stretches.Labels(3 * MIN, 2 * MIN, 3)
+        got = np.concatenate([labels.block(us[a : a + block], raw[a : a + block]) for a in range(0, len(us), block)])
+        assert [names[k] for k in got] == [r.regime for r in rows] and len(set(got.tolist())) == 4
+
+
+@pytest.mark.parametrize("pack,batch,block", [(1, 1, 1), (50, 20, 30), (1 << 18, 1000, 1 << 18)])
+def test_packed_rows_come_back_whole_and_in_order(monkeypatch, pack, batch, block):
+    monkeypatch.setattr(stretches, "PACK_ROWS", pack)
+    monkeypatch.setattr(stretches, "PACKED_ROWS", 3)
+    monkeypatch.setattr(stretches, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(5)
+    rows = [(k, int(t), int(r), v) for k, t, r, v in zip(rng.choice(["A", "B", None], 400), rng.integers(-5, 300, 400) * 10 * MIN, rng.integers(0, 4, 400), [None, 1.5, float("nan"), 0.0] * 100, strict=True)] + [("A", None, 1, 2.0)]
+    table = pa.table(list(zip(*rows)), schema=pa.schema([("k", pa.string()), ("us", pa.int64()), ("__raw", pa.int8()), ("__y", pa.float64())]))
+    packed = pa.Table.from_batches(stretches._pack(iter(table.to_batches(batch)), 1)).sort_by([("k", "ascending"), ("__hour", "ascending")])
+    got, ended = [], []
+    for key, end, part in stretches._unpack(iter(packed.combine_chunks().to_batches(batch)), 1, lambda: 0):
+        got += [(*key, None if r["us"] == stretches.NEVER else int(r["us"]), int(r["raw"]), float(r["y"]) if r["there"] else None) for r in part]
+        ended += [key] * end
+    assert sorted(map(repr, got)) == sorted(map(repr, rows)) and len(ended) == len(set(ended)) == 3
+    for k in ("A", "B", None):
+        times = [stretches.NEVER if t is None else t for x, t, _, _ in got if x == k]
+        assert times == sorted(times)
+
+
+@pytest.mark.parametrize("missing", [False, True])
+def test_scopes_of_raw_rows_equal_series_of_labelled_rows(spark, missing):
+    df = raw_rows(spark, missing=missing)
+    periods = {0: ((0, 300 * MIN), (420 * MIN, 900 * MIN)), 1: ((200 * MIN, 1000 * MIN),), 2: ((10**15, 10**15 + 1),)}
+    m = RuleModel(FeatureSettings(decay_channel="value", gap="100min", duty="30min"), RuleSettings(baseline="3h", mode="trailing"), ["asset_id"], (), REGIMES)
+    names = [f"q_{r}" for r in m.contributors]
+    by_scope = m.scoped_quantities(df, [[stretches.Scope(0, periods[0])], [stretches.Scope(k, periods[k]) for k in (1, 2)]], times=True)
+    summed = m.scoped_quantities(df, [[stretches.Scope(k, periods[k]) for k in periods]])
+    text = lambda rows: sorted(tuple(f"{x:.9g}" if isinstance(x, float) else str(x) for x in r) for r in rows.collect())
+    labelled, all_rows = regimes.assign_regimes(df, REGIMES), 0
+    for k in periods:
+        inside = F.lit(False)
+        for a, b in periods[k]:
+            inside = inside | ((F.col("us") >= a) & (F.col("us") < b))
+        want = text(m.quantities(labelled.where(inside)).select("asset_id", "us", *names))
+        assert text(by_scope.where(F.col("__scope") == k).select("asset_id", F.explode("__us").alias("us"), *names)) == want
+        packed = by_scope.where(F.col("__scope") == k).select("asset_id", *names, F.get("__us", F.lit(0)), F.element_at("__us", -1), F.size("__us"))
+        assert text(summed.where(F.col("__scope") == k).select("asset_id", *names, "us", "__until", "__n")) == text(packed)
+        all_rows += len(want)
+    assert all_rows > 300
+
+
+def test_rows_without_a_time_are_not_dropped_in_silence(spark):
+    m = RuleModel(FeatureSettings(decay_channel="value"), RuleSettings(), ["asset_id"], ["asset_id"], REGIMES).fit_until(100 * MIN)
+    with pytest.raises(Exception, match="a row has no time"):
+        m.score(raw_rows(spark, 20, True)).collect()
+
+
+def test_unpacked_scores_spread_over_all_tasks(spark):
+    """Adaptive execution put the few packed rows, and with them all that they stand for, into one task."""
+    m = RuleModel(FeatureSettings(decay_channel="value"), RuleSettings(), ["asset_id"], ["asset_id"], REGIMES).fit_until(100 * MIN)
+    assert m.score(raw_rows(spark)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_plan_tables_equal_created_ones(spark):
+    ddl = "a int, b double, c string, d array<struct<x:long,y:long>>"
+    for rows in ([(1, 0.1 + 0.2, "x'\"", [(2**62, -1)]), (None, 1e300, None, []), (2, None, "ü", None)], []):
+        got, want = plan_table(spark, rows, ddl), spark.createDataFrame(rows, ddl)
+        assert got.collect() == want.collect() and got.schema.simpleString() == want.schema.simpleString()
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["rule_pooled"])
+def test_rule_queries_move_packed_rows_and_keep_no_labelled_ones(spark, name):
+    text = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "__rows" in text and "__held" not in text
+
+
 @needs_data
 def test_scores_stay_packed_and_whole(spark):
     p = catalogue._plan(spark, SF)

@@ -305,19 +305,19 @@ def median_imputation(spark, d):
 
 
 def rule_model() -> RuleModel:
-    return RuleModel(P.FEATURES, P.RULES, ["asset_id"], ["asset_id"])
+    return RuleModel(P.FEATURES, P.RULES, ["asset_id"], ["asset_id"], P.REGIMES)
 
 
 @query
 def rule_severity(spark, d):
-    df = labelled(spark, d)
+    df = telemetry(spark, d)
     m = rule_model().fit_until(folds.at(P.EVENTS[1].start))
     return rounded(m.contributions(df).select("asset_id", "us", *m.contributors))
 
 
 @query
 def rule_score(spark, d):
-    df = labelled(spark, d)
+    df = telemetry(spark, d)
     m = rule_model().fit_until(folds.at(P.EVENTS[1].start))
     return rounded(m.score(df).select("asset_id", "us", "score"))
 

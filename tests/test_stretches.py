@@ -182,7 +182,7 @@ def test_plan_tables_equal_created_ones(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["rule_score", "rule_evaluation", "rule_pooled"])
+@pytest.mark.parametrize("name", ["rule_shift", "rule_score", "rule_evaluation", "rule_pooled"])
 def test_rule_queries_move_packed_rows_and_keep_no_labelled_ones(spark, name):
     text = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "__rows" in text and "__held" not in text

@@ -55,12 +55,14 @@ class RuleModel:
             raise ValueError("rows without regimes need the settings of these")
         return raw_stretches(df, self.regimes, self.features.decay_channel, self._wanted(hole_us, cuts), by or self.by, tasks, times)
 
-    def quantities(self, df: DataFrame, by: Sequence[str] | None = None, packed: bool = False, hole_us: int | None = None, cuts: Sequence[int] = ()) -> DataFrame:
+    def quantities(self, df: DataFrame, by: Sequence[str] | None = None, packed: bool = False, hole_us: int | None = None, cuts: Sequence[int] = (), tasks: Sequence[Sequence[Scope]] | None = None) -> DataFrame:
         """Adds q_<rule> for every enabled rule: values of the last finished runs, then their ratio to a moving baseline.
 
         packed: (by, q_<rule>, __begin, __us) instead, a row for a stretch of rows that have the same, with their times; it
-        ends at larger holes than hole_us and before the times in cuts. One pass, and far fewer rows to rank."""
+        ends at larger holes than hole_us and before the times in cuts. One pass, and far fewer rows to rank. tasks: scoped_quantities() of these scopes."""
         by = by or self.by
+        if packed and tasks is not None:
+            return self.scoped_quantities(df, tasks, by, hole_us, cuts)
         if packed and "regime" not in df.columns:
             return self.scoped_quantities(df, [[Scope(0)]], by, hole_us, cuts, True).drop("__scope")
         if packed:

@@ -169,7 +169,7 @@ def _normal(p: Plan) -> tuple[list[Scope], list[tuple]]:
 def _measured(p: Plan, tasks: Sequence[Sequence[Scope]], periods: Sequence[tuple]) -> DataFrame:
     """Packed quantities by fold: a row stands for __n rows with the same, from us to __until, without a coverage gap."""
     cuts = sorted({t for _, _, lo, hi in periods for t in (lo, hi + 1)})  # a packed row lies in a period or outside
-    rows = _rules(p).scoped_quantities(p.raw, tasks, ["asset_id"], episodes.episode_settings(p.settings.evaluation)[1], cuts)
+    rows = _rules(p).quantities(p.raw, ["asset_id"], True, episodes.episode_settings(p.settings.evaluation)[1], cuts, tasks)
     f = F.broadcast(plan_table(p.raw.sparkSession, periods, "__scope int, event_id int, __lo long, __hi long"))
     return rows.join(f, "__scope").where(F.col("us").between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as ex
 from . import textkit as tk
-from .common import discard_tables, pieces, table, text_bytes, written
+from .common import discard_tables, few_files, pieces, table, text_bytes, written
 
 WINDOW = 20
 BLOCK = 10
@@ -167,9 +167,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, occurrence and spans: the word ranges that repeat an earlier place, packed as int32 pairs."""
     size = text_bytes(docs)
     buckets = pieces(size, ex.BUCKET_BYTES)
-    hits = written(ex.resolve(probe_blobs(docs, buckets), block_hits), "block-hits")
+    hits = written(few_files(ex.resolve(probe_blobs(docs, buckets), block_hits), docs), "block-hits")
     stream = ex.with_spans(docs, hits, pieces(size, ex.CHUNK_BYTES))
-    out = written(ex.resolve(window_blobs(stream, buckets), later_windows), "repeat-spans")
+    out = written(few_files(ex.resolve(window_blobs(stream, buckets), later_windows), docs), "repeat-spans")
     discard_tables(hits)
     return out
 
@@ -216,8 +216,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = deduplicated(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    docs = table(spark, sf_dir, "documents")
+    return few_files(deduplicated(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")), docs)
 
 
 def brute(texts: list[tuple[int, str | None]]) -> list[tuple[int, int, int, str]]:

@@ -133,6 +133,42 @@ def test_dedup_edges(spark, op):
     assert op.deduplicated(empty(spark)).count() == 0
 
 
+@pytest.fixture
+def many_tasks(spark):
+    """A file a task, and a task for each shuffle partition."""
+    new = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "128m"}
+    old = {k: spark.conf.get(k, None) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def files_of(monkeypatch, module):
+    """Gets the numbers of files of the tables that the module writes from now on."""
+    counts = []
+
+    def written(df, *more):
+        out = common.written(df, *more)
+        counts.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(module, "written", written)
+    return counts
+
+
+def test_substring_dedup_writes_few_files(spark, monkeypatch, tmp_path, many_tasks):
+    monkeypatch.setattr(exchange, "CHUNK_BYTES", 3000)
+    texts = corpus(1)
+    table(spark, texts).repartition(12).write.parquet(f"{tmp_path}/documents.parquet")
+    counts = files_of(monkeypatch, substring_dedup)
+    substring_dedup.op1_substring_dedup(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert len(counts) == 2 and max(*counts, len(out.inputFiles())) <= 4
+    assert sorted(map(tuple, out.collect())) == substring_dedup.brute(list(enumerate(texts)))
+
+
 # --- op8 --------------------------------------------------------------------
 
 

@@ -16,7 +16,7 @@ Gram matrix of the documents with a positive rate in Spark columns, and correct
 by that Gram matrix until the error of the projected gradient's fixed point is
 below TOLERANCE; otherwise the fit raises. A rate needs the document's own
 posterior and g alone, so the last pass over the texts computes it in place and
-no text is shuffled.
+no text is shuffled; the posteriors are, to be few files.
 
 Defined results: a null or empty text has no tokens and the prior as posterior;
 without usable labels there is one domain and every rate is 1; repeated rows
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import bounded_sample, discard_tables, table, written
+from .common import bounded_sample, discard_tables, few_files, table, written
 
 N_BUCKETS = 1 << 14
 #: The classifier learns from about so many labelled rows at most (by id hash).
@@ -219,7 +219,7 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     """doc_id, n_tokens, posterior (in the order of the sorted domain names) and rate of every document, and, the same in
     all rows, the domains and their wanted and reached shares of the tokens."""
     model = fit_classifier(docs, labels)
-    scored = written(_scored(docs, model), "posteriors")
+    scored = written(few_files(_scored(docs, model), docs), "posteriors")
     g, totals, wanted = fit_rates(scored.select("n_tokens", "posterior"), model.names, targets, ridge)
     rate = F.greatest(F.lit(0.0), 1 - sum((F.col("posterior")[i] * float(v) for i, v in enumerate(g)), F.lit(0.0)) / ridge)
     shares = [F.array(*(F.lit(float(v)) for v in x / max(x.sum(), 1.0))) for x in (wanted, totals)]
@@ -238,7 +238,7 @@ def repeated(batch: pa.RecordBatch, copies: np.ndarray, at_text: int) -> Iterato
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """The documents, each repeated floor(rate + u) times with u from a hash of its id and text; all columns."""
     model = fit_classifier(docs, labels)
-    scored = written(_scored(docs, model).select("n_tokens", "posterior"), "posteriors")
+    scored = written(few_files(_scored(docs, model).select("n_tokens", "posterior"), docs), "posteriors")
     g, _, _ = fit_rates(scored, model.names, targets)
     discard_tables(scored)
     ridge = RIDGE

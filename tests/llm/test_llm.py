@@ -639,6 +639,19 @@ def test_mixing_edges(spark):
     assert mixing.rates(empty(spark), none).count() == 0
 
 
+def test_posteriors_are_few_files(spark, monkeypatch, tmp_path, many_tasks):
+    texts, df, labels, _ = labelled(spark)
+    df.repartition(12).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    counts = files_of(monkeypatch, mixing)
+    mixing.op2_mixing(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert mixing.mixed(docs, labels).count() > 0
+    assert len(counts) == 2 and max(*counts, len(out.inputFiles())) <= 4
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in df.collect())
+
+
 # --- op9 --------------------------------------------------------------------
 
 
